@@ -1,4 +1,8 @@
-"""A corpus run over ``documents``: filters, deduplication, redaction and packing."""
+"""A corpus run over ``documents``: filters, deduplication, redaction and packing.
+
+Every stage takes all rows that the one before it kept and is written as
+Parquet into the shared folder before the next one reads it.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from inundata.llm import queries
+from inundata.llm.exact_dedup import exact_duplicates
+from inundata.llm.near_dedup import near_duplicates
+from inundata.llm.packing import pack
+from inundata.llm.secret_scan import redact
+from inundata.llm.toxicity import drop_toxic
+from inundata.storage import Scratch
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't score as toxic."""
+    return drop_toxic(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id. Rows that repeat a doc_id stay or go together."""
+    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more the one with the smallest doc_id."""
+    dropped = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark."""
+    return redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training sequences."""
+    return pack(docs, queries.vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("secret_scan", without_secrets),
+    ("packing", packed),
+]
+
+#: Several stages have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage over the whole table ``documents``."""
+    docs = queries.table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
+    with scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        return scratch.keep(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

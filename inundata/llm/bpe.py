@@ -83,7 +83,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, added = spec["model"]["vocab"], {x["content"]: x["id"] for x in spec["added_tokens"]}
-        value = {c: b for b, c in enumerate(byte_letters())}
+        self.value = value = {c: b for b, c in enumerate(byte_letters())}
 
         def letters(token: str) -> str:
             last = token.endswith(END)
@@ -129,35 +129,43 @@ class Encoder:
         data = word.encode("utf-8")
         n = len(data)
         text = data[:-1].decode("latin-1") + chr(data[-1] + 256)
-        last: list[tuple[int, int] | None] = [None] * (n + 1)
-        fits = self.pairs
+        last, sizes = [-1] * (n + 1), [0] * (n + 1)
+        known, fits = self.pairs.known.get, self.pairs
         for end, (token, size) in self.matcher.iter(text):
-            start = end + 1 - size
-            if start == 0 or (last[start] is not None and fits(last[start][0], token)):
-                last[end + 1] = (token, size)
+            end += 1
+            if last[end] < 0:
+                if size == end:
+                    last[end], sizes[end] = token, size
+                    continue
+                before = last[end - size]
+                if before >= 0:
+                    ok = known((before, token))
+                    if fits(before, token) if ok is None else ok:
+                        last[end], sizes[end] = token, size
         ids, at = [], n
         while at:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
+            ids.append(last[at])
+            at -= sizes[at]
         return np.array(ids[::-1], "<u4").tobytes()
 
-    def normal(self, text: str) -> str:
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text. Texts with letters that tables may disagree on are split by the library."""
         if text.isascii():
-            return text.lower()
+            return self.split.findall(text.lower())
         if self.plain.fullmatch(text):
-            return unicodedata.normalize("NFC", text).lower()
+            return self.split.findall(unicodedata.normalize("NFC", text).lower())
         if self.library is None:
             from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_file(self.path).normalizer
-        return self.library.normalize_str(text)
+            self.library = Tokenizer.from_file(self.path)
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.value.__getitem__, x)).decode("utf-8") for x, _ in parts]
 
     def encode(self, text: str) -> bytes:
         get = self.words.__getitem__
         if self.split_added and "<|" in text:
-            return b"".join(self.added[part] if part in self.added else b"".join(map(get, self.split.findall(self.normal(part)))) for part in self.split_added.split(text))
-        return b"".join(map(get, self.split.findall(self.normal(text))))
+            return b"".join(self.added[part] if part in self.added else b"".join(map(get, self.pieces(part))) for part in self.split_added.split(text))
+        return b"".join(map(get, self.pieces(text)))
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces, as the library does for a file without decoder."""

@@ -15,20 +15,20 @@ from pyspark.sql import functions as F
 from inundata.llm import common
 
 #: Bytes of a window; windows among which one is the least probable; wins that select it.
-WINDOW, POPULAR, LEAST_WINS = 64, 64, 16
+WINDOW, POPULAR, LEAST_WINS = 32, 64, 16
 #: Bits of one filter, features it takes, bits that a feature sets.
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 #: Entropies are told apart in so many steps; the ends say too little to count.
 STEPS, LOWEST, HIGHEST = 1000, 100, 990
 #: Part of the range between chance and full overlap under which two filters are unrelated.
-CUTOFF = 0.3
+CUTOFF = 0.2
 #: Text of one neighbourhood of documents, and most neighbourhoods.
 BUCKET_BYTES, BUCKETS = 4_000_000, 20_000
 #: Bytes that one numpy step works on.
 STEP_BYTES = 400_000
 
 _UNIT = 1 << 16
-_FULL = 6 * _UNIT * WINDOW
+_FULL = (WINDOW.bit_length() - 1) * _UNIT * WINDOW
 
 
 def _count_terms() -> np.ndarray:
@@ -251,7 +251,7 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how like they are.
 
-    Windows of 64 bytes are ranked by how rare their entropy is over all texts;
+    Windows of 32 bytes are ranked by how rare their entropy is over all texts;
     of each 64 windows in a row the rarest wins, and windows that win often
     enough are a text's features. Its fingerprint is a chain of Bloom filters,
     written as their number and base64. Edited texts take their second half

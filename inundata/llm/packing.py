@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inundata.llm import common
-from inundata.llm.bpe import encoder
 from inundata.storage import Scratch
 
 #: Tokens of one sequence.
 CAPACITY = 2048
-#: Parts that the documents of one length are numbered in; bounds a numbering group.
-PARTS = 64
+#: Parts that the pieces of one length are numbered in, and the full ones; bounds a numbering group.
+PARTS, FULL_PARTS = 64, 4096
 
 
 def fill(counts: np.ndarray, capacity: int, first: int) -> dict[int, int]:
@@ -98,13 +99,26 @@ class Slots:
         return sequence + inside // n, offset + inside % n * length
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """One tokenizer for each worker process and file, on one thread as the task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, tail = encoder(path), np.array([end], "<u4").tobytes()
+        encode = tokenizer(path).encode_batch_fast
         for rows, texts in common.chunks(batches, "text"):
             out: list[tuple] = []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
-                ids = e.encode(text.decode("utf-8", "replace")) + tail
+            done = encode([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            for doc_id, coded in zip(rows.column("doc_id").to_pylist(), done):
+                ids = np.array([*coded.ids, end], "<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
@@ -150,9 +164,10 @@ def pack(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY) ->
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     with Scratch(spark) as scratch:
         pieces = scratch.keep(common.documents(docs).mapInArrow(_pieces(path, end, capacity), schema), "pieces")
-        part = F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32"), F.lit(PARTS)).cast("int")
+        parts = F.when(F.col("length") == capacity, FULL_PARTS).otherwise(PARTS)
+        part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), parts).cast("int")
         keyed = pieces.withColumn("part", part)
-        sizes = {(r["length"], r["part"]): r["n"] for r in keyed.groupBy("length", "part").agg(F.count("*").alias("n")).collect()}  # capacity * PARTS rows at most
+        sizes = {(r["length"], r["part"]): r["n"] for r in keyed.groupBy("length", "part").agg(F.count("*").alias("n")).collect()}  # capacity * PARTS + FULL_PARTS rows at most
         counts, before, offsets = np.zeros(capacity + 1, np.int64), {}, []
         for (length, p), n in sorted(sizes.items()):
             offsets.append((length, p, int(counts[length])))

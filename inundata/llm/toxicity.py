@@ -22,6 +22,8 @@ TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1500, 4000, 20_000
 WINDOW, BASE_BYTES = 96, 110_000
 #: Shares of the toxic documents that a toxic segment must occur in; calibration picks one.
 SHARES = (0.01, 0.015, 0.02, 0.03, 0.05)
+#: Bytes of the beginnings of words that can be segments, too.
+BEGINNINGS = (5, 6, 7)
 #: A toxic segment is so many times as frequent in toxic documents as in ordinary ones.
 CONTRAST = 50
 
@@ -43,7 +45,9 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
 
 
 def segments(text: bytes) -> set[bytes]:
-    return {w for x in text.split() if len(w := x.strip(_EDGES)) >= 4}
+    """Words, and their beginnings, which compounds share."""
+    words = {w for x in text.split() if len(w := x.strip(_EDGES)) >= 4}
+    return words | {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
 
 
 @lru_cache(maxsize=16)
