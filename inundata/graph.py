@@ -19,7 +19,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", l
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
     cur, last = scratch.save(pairs.distinct(), "edges"), None
-    for _ in range(limit):
+    for _ in range(limit if cur.take(1) else 0):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -36,5 +36,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", l
             break
         last = (n, total, lows)
     else:
-        raise RuntimeError("components did not settle")
+        if last is not None:
+            raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -5,10 +5,769 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inundata.functions import geo
+from inundata.operators import catalog, components, focal, grid as g, interp, knn, objects as obj, segments, terrain, threshold
+from inundata.operators.grid import Grid
+from inundata.operators.rules import ObjectRules, distance_to_flood
+from inundata.plans import fixtures as fx
+from inundata.plans.fixtures import Rasters, sql
+from inundata.sources import sinks
+from inundata.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+def query(name: str, oracle: str | None = None):
+    """Registers a query and its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+R6 = "round({}, 6) + 0e0"
+
+# Grids ------------------------------------------------------------------------------------------
+
+
+@query("valid_bounds", sql("cell", "SELECT min(r) AS r0, max(r) + 1 AS r1, min(c) AS c0, max(c) + 1 AS c1 FROM cell WHERE label = 3 AND v > 0.2e0"))
+def _(spark, d):
+    return g.valid_bounds(Rasters(spark, d).made("case when label = 3 and v > 0.2e0 then v end"))
+
+
+@query("windowed_read", sql("cell dem", "SELECT r - 100 AS r, c - 10 AS c, round(v, 6) + 0e0 AS v FROM dem WHERE r >= 100 AND r < 180 AND c >= 10 AND c < 50"))
+def _(spark, d):
+    return rounded(g.window(Rasters(spark, d).dem, 100, 180, 10, 50), "v")
+
+
+@query("mosaic_first", sql("cell db nir", "SELECT r, c, round(coalesce(db.v, nir.v), 6) + 0e0 AS v FROM db JOIN nir USING (r, c)"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(g.mosaic([x.db, x.nir]), "v")
+
+
+@query("resample_nearest", sql("cell size db", """
+    SELECT t.r, t.c, round(v, 6) + 0e0 AS v FROM (SELECT a.i::INT AS r, b.j::INT AS c FROM size, range(0, h * 2 // 3) a(i), range(0, 42) b(j)) t
+    LEFT JOIN db ON db.r = floor((t.r + 0.5e0) * 1.5e0) AND db.c = floor((t.c + 0.5e0) * 1.5e0)"""))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(g.align(x.db, x.grid, Grid(42, x.grid.height * 2 // 3, 1.5, e=-1.5), "nearest"), "v")
+
+
+@query("resample_bilinear", sql("cell size db", """
+    SELECT r, c, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) + 0e0 AS v FROM (
+        SELECT t.r, t.c, (1 - abs(fr - (floor(fr) + p.p))) * (1 - abs(fc - (floor(fc) + q.q))) AS w, db.v
+        FROM (SELECT a.i::INT AS r, b.j::INT AS c, (a.i + 0.5e0) * 1.5e0 - 0.5e0 AS fr, (b.j + 0.5e0) * 1.5e0 - 0.5e0 AS fc FROM size, range(0, h * 2 // 3) a(i), range(0, 42) b(j)) t,
+             range(0, 2) p(p), range(0, 2) q(q) LEFT JOIN db ON db.r = floor(fr) + p.p AND db.c = floor(fc) + q.q
+    ) WHERE w <> 0 GROUP BY r, c"""))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(g.align(x.db, x.grid, Grid(42, x.grid.height * 2 // 3, 1.5, e=-1.5)), "v")
+
+
+@query("resample_average", sql("cell db", "SELECT r // 4 AS r, c // 4 AS c, round(avg(v), 6) + 0e0 AS v FROM db GROUP BY ALL"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(g.align(x.db, x.grid, Grid(16, x.grid.height // 4, 4.0, e=-4.0), "average"), "v")
+
+
+@query("resample_cubic")
+def _(spark, d):
+    x = Rasters(spark, d)
+    return g.align(x.dem, x.grid, Grid(42, x.grid.height * 2 // 3, 1.5, e=-1.5), "cubic")
+
+
+@query("occurrence_seed", sql("cell occ", "SELECT r, c, CASE WHEN v > 20 THEN 1 ELSE 0 END AS v FROM occ"))
+def _(spark, d):
+    return g.seed(Rasters(spark, d).occurrence)
+
+
+@query("db_linear_roundtrip", sql("cell db", "SELECT r, c, round(pow(10e0, v / 10), 6) + 0e0 AS linear, round(CASE WHEN v IS NOT NULL THEN 10 * log10(greatest(pow(10e0, v / 10), 1e-15)) END, 6) + 0e0 AS v FROM db"))
+def _(spark, d):
+    db = Rasters(spark, d).db.withColumn("linear", g.from_db(F.col("v")))
+    return rounded(db.withColumn("v", g.to_db(F.col("linear"))), "linear", "v")
+
+
+@query("classify_threshold", sql("cell db", "SELECT r, c, CASE WHEN v IS NULL THEN 255 WHEN v < -15e0 + c / 64e0 THEN 1 ELSE 0 END AS v FROM db"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return g.classify(x.db, x.made("-15e0 + c / 64e0"))
+
+
+@query("depth_from_surface", sql("cell dem nir", "SELECT r, c, round(CASE WHEN 104e0 + nir.v >= dem.v THEN 104e0 + nir.v - dem.v END, 6) + 0e0 AS v FROM dem JOIN nir USING (r, c)"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(g.depth(x.nir.withColumn("v", 104 + F.col("v")), x.dem), "v")
+
+
+@query("dem_sample", sql("cell dem", """
+    SELECT s_suppkey AS id, round(v, 6) + 0e0 AS elev FROM (SELECT s_suppkey, (s_suppkey % 70) + 0.25e0 AS x, -(s_suppkey * 3.5e0) AS y FROM supplier)
+    LEFT JOIN dem ON r = trunc(-y) AND c = trunc(x)"""))
+def _(spark, d):
+    x = Rasters(spark, d)
+    pts = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("(s_suppkey % 70) + 0.25e0").alias("x"), F.expr("-(s_suppkey * 3.5e0)").alias("y"))
+    return rounded(g.sample(pts, x.dem, x.grid).select("id", "elev"), "elev")
+
+
+# Moving windows ---------------------------------------------------------------------------------
+
+_BOX = {
+    "k": "SELECT i AS d FROM range(-3, 4) t(i)",
+    "near": """
+        SELECT a.r, a.c, CASE WHEN a.c + k.d < 0 THEN -1 - (a.c + k.d) WHEN a.c + k.d >= w THEN 2 * w - 1 - (a.c + k.d) ELSE a.c + k.d END AS cc FROM src a, k, size""",
+    "s1": "SELECT n.r, n.c, sum(v) AS s, sum(v * v) AS q, count(v) AS n FROM near n JOIN src b ON b.r = n.r AND b.c = n.cc GROUP BY ALL",
+    "near2": """
+        SELECT a.r, a.c, CASE WHEN a.r + k.d < 0 THEN -1 - (a.r + k.d) WHEN a.r + k.d >= h THEN 2 * h - 1 - (a.r + k.d) ELSE a.r + k.d END AS rr FROM src a, k, size""",
+    "s2": "SELECT m.r, m.c, sum(s) / nullif(sum(n), 0) AS mean, greatest(sum(q) / nullif(sum(n), 0) - pow(sum(s) / nullif(sum(n), 0), 2), 0e0) AS var FROM near2 m JOIN s1 ON s1.r = m.rr AND s1.c = m.c GROUP BY ALL",
+    "box": "SELECT src.r, src.c, src.v, mean, var FROM src JOIN s2 USING (r, c)",
+}
+_LEE = "mean + greatest(0, least(1, var / (var + mean * mean / 4.9e0 + 1e-15))) * (v - mean)"
+
+
+@query("box_stats", sql("cell size db", "SELECT r, c, round(v, 6) + 0e0 AS v, round(mean, 6) + 0e0 AS mean, round(var, 6) + 0e0 AS var FROM box", {"src": "SELECT * FROM db"} | _BOX))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(focal.box_stats(x.db, x.grid), "v", "mean", "var")
+
+
+@query("lee", sql("cell size db", f"SELECT r, c, round(10 * log10(greatest({_LEE}, 1e-15)), 6) + 0e0 AS v FROM box", {"src": "SELECT r, c, pow(10e0, v / 10) AS v FROM db"} | _BOX))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(focal.speckle_filter(x.db, x.grid), "v")
+
+
+@query("enhanced_lee", sql("cell size db", f"""
+    SELECT r, c, round(10 * log10(greatest(CASE WHEN v IS NULL THEN NULL WHEN ci <= 0.523e0 THEN mean WHEN ci >= 1.73e0 THEN v ELSE {_LEE} END, 1e-15)), 6) + 0e0 AS v
+    FROM (SELECT *, sqrt(var) / (mean + 1e-15) AS ci FROM box)""", {"src": "SELECT r, c, pow(10e0, v / 10) AS v FROM db"} | _BOX).replace("SELECT r, c, round(10", "SELECT r, c, CASE WHEN v IS NOT NULL THEN round(10").replace("6) + 0e0 AS v\n", "6) + 0e0 END AS v\n"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(focal.speckle_filter(x.db, x.grid, enhanced=True), "v")
+
+
+_GAUSS = {
+    "k": "SELECT i AS d, exp(-i * i / 4.5e0) / (SELECT sum(exp(-j * j / 4.5e0)) FROM range(-6, 7) u(j)) AS g FROM range(-6, 7) t(i)",
+    "g1": """SELECT a.r, a.c, sum(g * b.v) AS v FROM dem a, k, size JOIN dem b ON b.r = a.r AND b.c = CASE WHEN a.c + k.d < 0 THEN -1 - (a.c + k.d) WHEN a.c + k.d >= w THEN 2 * w - 1 - (a.c + k.d) ELSE a.c + k.d END GROUP BY a.r, a.c""",
+    "g2": """SELECT a.r, a.c, sum(g * b.v) AS v FROM dem a, k, size JOIN g1 b ON b.c = a.c AND b.r = CASE WHEN a.r + k.d < 0 THEN -1 - (a.r + k.d) WHEN a.r + k.d >= h THEN 2 * h - 1 - (a.r + k.d) ELSE a.r + k.d END GROUP BY a.r, a.c""",
+}
+
+
+@query("gaussian", sql("cell size dem", "SELECT r, c, round(v, 6) + 0e0 AS v FROM g2", _GAUSS))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(focal.gaussian(x.dem, x.grid), "v")
+
+
+_SQUARE = "SELECT a.i, b.j FROM range(-1, 2) a(i), range(-1, 2) b(j)"
+_ERODE = "SELECT a.r, a.c, CASE WHEN count(b.r) = 9 AND min(b.v) = 1 THEN 1 ELSE 0 END AS v FROM {0} a, sq LEFT JOIN {0} b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c"
+_DILATE = "SELECT a.r, a.c, max(b.v) AS v FROM {0} a, sq LEFT JOIN {0} b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c"
+
+
+def _morph(source: str, steps: str) -> dict[str, str]:
+    """Parts for erosions and dilations one after another; the last is called morph."""
+    out, now = {"sq": _SQUARE}, source
+    for i, s in enumerate(steps):
+        name = "morph" if i == len(steps) - 1 else f"{s}{i}"
+        out[name] = (_ERODE if s == "e" else _DILATE).format(now)
+        now = name
+    return out
+
+
+for _name, _steps in (("erode", "e"), ("dilate", "d"), ("morph_eded", "eded")):
+
+    @query(_name, sql("cell db mask", "SELECT r, c, v FROM morph", _morph("mask", _steps)))
+    def _(spark, d, steps=_steps):
+        x = Rasters(spark, d)
+        return focal.smooth_mask(x.mask, x.grid, steps)
+
+
+@query("dilate_cross", sql("cell db mask", "SELECT a.r, a.c, max(b.v) AS v FROM mask a, sq LEFT JOIN mask b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c", {"sq": "SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) t(i, j)"}))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return focal.dilate(x.mask, x.grid, [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)])
+
+
+@query("local_max", sql("cell dem", "SELECT a.r, a.c, CASE WHEN a.v >= max(b.v) THEN 1 ELSE 0 END AS v FROM dem a, sq JOIN dem b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c, a.v", {"sq": _SQUARE}))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return focal.local_max(x.dem, x.grid)
+
+
+# Regions ----------------------------------------------------------------------------------------
+
+_EIGHT = "SELECT a.i, b.j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE a.i <> 0 OR b.j <> 0"
+_FOUR = "SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(i, j)"
+
+
+def _labels(source: str, name: str, near: str = _EIGHT, same: str = "") -> dict[str, str]:
+    """Parts that label the cells of ``source``: (id, l) with the least id reachable."""
+    return {
+        f"{name}_o": near,
+        f"{name}_n": f"SELECT a.r * 64 + a.c AS x, b.r * 64 + b.c AS y FROM {source} a, {name}_o JOIN {source} b ON b.r = a.r + i AND b.c = a.c + j {same}",
+        f"{name}(id, l) USING KEY (id)": f"SELECT r * 64 + c, r * 64 + c FROM {source} UNION SELECT n.y, min(p.l) FROM {name} p JOIN {name}_n n ON n.x = p.id JOIN recurring.{name} q ON q.id = n.y WHERE p.l < q.l GROUP BY n.y",
+    }
+
+
+for _name, _near, _diagonal in (("label_8", _EIGHT, True), ("label_4", _FOUR, False)):
+
+    @query(_name, sql("cell db mask", "SELECT (id // 64)::INT AS r, (id % 64)::INT AS c, l::BIGINT AS label FROM lab", {"on_": "SELECT * FROM mask WHERE v = 1"} | _labels("on_", "lab", _near), True))
+    def _(spark, d, diagonal=_diagonal):
+        x = Rasters(spark, d)
+        return components.label(x.mask.where("v = 1"), x.grid, diagonal).select("r", "c", "label")
+
+
+@query("label_numbers", sql("cell db mask", "SELECT (id // 64)::INT AS r, (id % 64)::INT AS c, dense_rank() OVER (ORDER BY l) AS object_id FROM lab", {"on_": "SELECT * FROM mask WHERE v = 1"} | _labels("on_", "lab"), True))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.numbered(components.label(x.mask.where("v = 1"), x.grid))
+
+
+_KEPT = "SELECT (id // 64)::INT AS r, (id % 64)::INT AS c FROM (SELECT *, count(*) OVER (PARTITION BY l) AS n FROM {}) WHERE n >= {}"
+
+
+@query("remove_small", sql("cell db mask", _KEPT.format("lab", 5), {"on_": "SELECT * FROM mask WHERE v = 1"} | _labels("on_", "lab"), True))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.remove_small(x.mask, x.grid, 5)
+
+
+@query("fill_holes", sql("cell db mask morph" if False else "cell db mask", "SELECT mask.r, mask.c, CASE WHEN kept.r IS NULL THEN 1 ELSE 0 END AS v FROM mask LEFT JOIN kept USING (r, c)", {"off_": "SELECT * FROM mask WHERE v = 0"} | _labels("off_", "lab") | {"kept": _KEPT.format("lab", 6)}, True))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.fill_holes(x.mask, x.grid, 6)
+
+
+@query("region_grow", sql("cell db occ", """
+    SELECT db.r, db.c, CASE WHEN l IN (SELECT l FROM lab JOIN occ ON occ.r * 64 + occ.c = id WHERE occ.v > 20) THEN 1 ELSE 0 END AS v FROM db LEFT JOIN lab ON id = db.r * 64 + db.c""",
+    {"dark": "SELECT * FROM db WHERE v < -16 AND v <> 0"} | _labels("dark", "lab"), True).replace("THEN 1 ELSE 0 END AS v FROM db LEFT", "THEN 1 ELSE 0 END AS v FROM db LEFT"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.region_grow(x.db, g.seed(x.occurrence), x.grid, -16)
+
+
+def _cleaned(source: str, steps: str, least: int, hole: int, valid: str = "TRUE") -> dict[str, str]:
+    """Parts that smooth a mask, drop small regions and fill holes; the last is called clean."""
+    return _morph(source, steps) | {"on_": f"SELECT r, c FROM morph JOIN db USING (r, c) WHERE morph.v = 1 AND {valid}"} | _labels("on_", "lab") | {
+        "big": _KEPT.format("lab", least),
+        "off_": "SELECT r, c FROM mask WHERE (r, c) NOT IN (SELECT (r, c) FROM big)",
+    } | _labels("off_", "hol") | {"gap": _KEPT.format("hol", hole), "clean": f"SELECT r, c, CASE WHEN (r, c) IN (SELECT (r, c) FROM gap) THEN 0 ELSE 1 END AS v, {valid} AS ok FROM mask JOIN db USING (r, c)"}
+
+
+@query("post_process", sql("cell db mask", "SELECT r, c, v FROM clean", _cleaned("mask", "deed", 20, 30), True).replace("db USING (r, c) WHERE morph.v", "db USING (r, c) WHERE morph.v").replace("SELECT r, c, CASE WHEN (r, c) IN (SELECT (r, c) FROM gap)", "SELECT r, c, CASE WHEN (r, c) IN (SELECT (r, c) FROM gap)"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.post_process(x.mask, x.grid, 20, 30)
+
+
+@query("flood_objects", sql("cell db mask", "SELECT (id // 64)::INT AS r, (id % 64)::INT AS c, dense_rank() OVER (ORDER BY l) AS object_id FROM fin", _cleaned("mask", "de", 4, 12, "db.v IS NOT NULL") | {"full_": "SELECT r, c FROM clean WHERE v = 1 AND ok"} | _labels("full_", "fin"), True))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.flood_objects(x.db.withColumn("v", F.when(F.col("v").isNotNull(), (F.col("v") < -16).cast("int"))), x.grid, 4, 12, "de")
+
+
+@query("polygonize_regions", sql("cell", """
+    SELECT l::BIGINT AS region_id, v::DOUBLE AS value, count(*) AS area_px, min(id // 64)::INT AS r0, max(id // 64)::INT AS r1, min(id % 64)::INT AS c0, max(id % 64)::INT AS c1 FROM lab JOIN cls ON cls.r * 64 + cls.c = id GROUP BY l, v""",
+    {"cls": "SELECT r, c, CASE WHEN v < -0.1e0 THEN 0e0 WHEN v < 0.1e0 THEN 1e0 ELSE 2e0 END AS v FROM cell"} | _labels("cls", "lab", _FOUR, "AND a.v = b.v"), True))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return components.polygon_regions(x.made("case when v < -0.1e0 then 0e0 when v < 0.1e0 then 1e0 else 2e0 end"), x.grid)
+
+
+# Thresholds -------------------------------------------------------------------------------------
+
+
+def _quadtree_sql() -> str:
+    more = {"l1": "SELECT r, c, v, r // 32 * 32 AS r0, c // 32 * 32 AS c0, least(32, h - r // 32 * 32) AS th, least(32, w - c // 32 * 32) AS tw FROM w01, size"}
+    for k in (1, 2, 3, 4):
+        more[f"t{k}"] = f"SELECT r0, c0, th, tw, avg(v) AS mean, {k} AS level FROM l{k} GROUP BY r0, c0, th, tw"
+        if k < 4:
+            more[f"l{k + 1}"] = f"""SELECT r, c, v, r0 + (r - r0) // (th // 2) * (th // 2) AS r0, c0 + (c - c0) // (tw // 2) * (tw // 2) AS c0, th // 2 AS th, tw // 2 AS tw
+                FROM l{k} JOIN t{k} USING (r0, c0, th, tw) WHERE NOT (mean > 0.3e0 AND mean < 0.7e0) AND th > 1 AND tw > 1 AND (r - r0) // (th // 2) < 2 AND (c - c0) // (tw // 2) < 2"""
+    every = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in (1, 2, 3, 4))
+    return sql("cell size w01", f"SELECT r0::INT AS r0, c0::INT AS c0, th::INT AS h, tw::INT AS w, round(mean, 6) + 0e0 AS mean, level FROM ({every}) WHERE mean > 0.3e0 AND mean < 0.7e0", more)
+
+
+@query("quadtree_tiles", _quadtree_sql())
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(threshold.quadtree(x.w01, x.grid, tile_size=32).select("r0", "c0", "h", "w", "mean", "level"), "mean")
+
+
+_BC = """CASE WHEN n > 3 THEN (m3 * m3 / (m2 * m2 * m2) + 1) / (m4 / (m2 * m2) - 3 + 3e0 * (n - 1) * (n - 1) / ((n - 2) * (n - 3))) END"""
+_MOMENTS = {
+    "mu": "SELECT l_suppkey AS k, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1",
+    "mom": "SELECT k, count(*) AS n, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 4)) AS m4, any_value(m) AS m FROM (SELECT l_suppkey AS k, l_extendedprice AS x FROM lineitem) JOIN mu USING (k) GROUP BY k",
+}
+
+
+@query("bimodality", sql("pts", f"SELECT k AS tile_id, round({_BC}, 6) + 0e0 AS bc FROM mom", _MOMENTS))
+def _(spark, d):
+    return rounded(fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("tile_id")).agg(threshold.bimodality("l_extendedprice").alias("bc")), "bc")
+
+
+def _threshold_points(spark, d):
+    return fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg((F.avg("l_extendedprice") / 1000).alias("threshold"), threshold.bimodality("l_extendedprice").alias("BC"))
+
+
+@query("threshold_outliers", sql("pts", """
+    SELECT id, round(t, 6) + 0e0 AS threshold, round(bc, 6) + 0e0 AS "BC" FROM p, (SELECT avg(t) AS a, stddev_pop(t) AS s FROM p)
+    WHERE (bc > 0.52e0 AND abs(t - a) < 2 * s) OR (bc < 0.52e0 AND abs(t - a) < 1.5e0 * s)""", _MOMENTS | {"p": f"SELECT k AS id, m / 1000 AS t, {_BC} AS bc FROM mom"}))
+def _(spark, d):
+    return rounded(threshold.drop_outliers(_threshold_points(spark, d), 0.52), "threshold", "BC")
+
+
+@query("gamma_mixture_threshold")
+def _(spark, d):
+    x = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tile_id"), (F.col("l_extendedprice") / 1000).alias("v"))
+    tiles = x.select("tile_id").distinct().withColumn("mean", F.lit(0.4))
+    return threshold.mixture_thresholds(x, tiles)
+
+
+@query("threshold_surface")
+def _(spark, d):
+    from inundata.plans.flows import threshold_surface
+
+    x = Rasters(spark, d)
+    return threshold_surface(x.w01, x.grid, tile_size=32, kind="optical")[1]
+
+
+_KDE = """
+    SELECT k, x FROM (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY f DESC, i) AS o FROM (
+        SELECT g.k, g.i, g.x, sum(exp(-0.5e0 * pow((g.x - s.v) / g.b, 2))) AS f FROM grid_ g JOIN src s ON s.k = g.k WHERE s.v IS NOT NULL GROUP BY ALL)) WHERE o = 1"""
+_KDE_PARTS = {
+    "st": "SELECT k, count(v) AS n, avg(v) AS a, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(v), -0.2e0) AS b FROM src GROUP BY k",
+    "grid_": "SELECT k, i, lo + i * ((hi - lo) / 499e0) AS x, b FROM st, range(0, 500) t(i) WHERE n >= 5 AND b > 0",
+    "top": _KDE,
+    "peak": "SELECT st.k, coalesce(top.x, st.a) AS x FROM st LEFT JOIN top USING (k)",
+}
+
+
+@query("kde_peak", sql("pts", "SELECT k AS nation, round(x, 4) + 0e0 AS level FROM peak", {"src": "SELECT c_nationkey AS k, c_acctbal / 1000 AS v FROM customer"} | _KDE_PARTS))
+def _(spark, d):
+    c = fx.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 1000).alias("v"))
+    return rounded(c.groupBy("nation").agg(obj.density_peak("v").alias("level")), "level", digits=4)
+
+
+_SPLIT = {
+    "srt": "SELECT y, row_number() OVER (ORDER BY y) AS a, sum(y) OVER (ORDER BY y ROWS UNBOUNDED PRECEDING) AS b, count(*) OVER () AS n, sum(y) OVER () AS s, lead(y) OVER (ORDER BY y) AS nx FROM ys",
+    "best": "SELECT * FROM srt WHERE a < n AND nx > y ORDER BY b * b / a + (s - b) * (s - b) / (n - a) DESC, a LIMIT 1",
+}
+
+
+@query("two_means", sql("objects", "SELECT round(b / a, 6) + 0e0 AS low, round((s - b) / (n - a), 6) + 0e0 AS high, round(y, 6) + 0e0 AS cut, n FROM best", {"ys": "SELECT ln(1 + area_km2) AS y FROM objects"} | _SPLIT))
+def _(spark, d):
+    return rounded(knn.two_means(fx.objects(spark, d).select(F.log1p("area_km2").alias("y"))), "low", "high", "cut")
+
+
+# Surfaces ---------------------------------------------------------------------------------------
+
+_IDW = "SELECT r, c, {} AS v FROM (SELECT r, c, pow(c + 0.5e0 - x, 2) + pow(-(r + 0.5e0) - y, 2) + {} AS d2, z, id FROM cell, pts) {}"
+
+
+@query("idw_global", sql("cell pts", "SELECT r, c, round(v, 6) + 0e0 AS v FROM (" + _IDW.format("sum(z / d2) / sum(1 / d2)", "1e0", "GROUP BY r, c") + ")"))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(interp.idw(x.cell, x.points, x.grid), "v")
+
+
+_IDW_KNN = {"near": "SELECT r, c, z, d2 FROM (SELECT r, c, z, d2, row_number() OVER (PARTITION BY r, c ORDER BY d2, id) AS o FROM (SELECT r, c, z, id, pow(c + 0.5e0 - x, 2) + pow(-(r + 0.5e0) - y, 2) AS d2 FROM cell, pts)) WHERE o <= 12",
+            "surf": "SELECT r, c, sum(z * pow(d2, -1.5e0)) / sum(pow(d2, -1.5e0)) AS v FROM near GROUP BY r, c"}
+
+
+@query("idw_knn", sql("cell pts", "SELECT r, c, round(v, 6) + 0e0 AS v FROM surf", _IDW_KNN))
+def _(spark, d):
+    x = Rasters(spark, d)
+    return rounded(interp.idw(x.cell, x.points, x.grid, 3.0, 0.0, 12), "v")
+
+
+@query("depth_class", sql("cell dem occ pts", """
+    SELECT b.r, b.c, round(CASE WHEN b.seed THEN greatest(b.w - b.z, 0e0) WHEN hit.id IS NOT NULL THEN b.w - b.z END, 6) + 0e0 AS depth, CASE WHEN b.seed THEN 1 WHEN hit.id IS NOT NULL THEN 2 ELSE 0 END AS class
+    FROM b LEFT JOIN hit ON hit.id = b.r * 64 + b.c""", _IDW_KNN | {"b": "SELECT dem.r, dem.c, dem.v AS z, surf.v AS w, occ.v > 20 AND dem.c % 8 = 0 AS seed FROM dem JOIN surf USING (r, c) JOIN occ USING (r, c)", "wet": "SELECT r, c FROM b WHERE seed OR z < w"}
+    | _labels("wet", "lab") | {"hit": "SELECT id FROM lab WHERE l IN (SELECT l FROM lab JOIN b ON b.r * 64 + b.c = id WHERE seed)"}, True))
+def flagship(spark, d):
+    x = Rasters(spark, d)
+    surface = interp.idw(x.cell, x.points, x.grid, 3.0, 0.0, 12)
+    seeds = x.occurrence.select("r", "c", F.when((F.col("v") > 20) & (F.col("c") % 8 == 0), 1).otherwise(0).alias("v"))
+    return rounded(interp.depth_class(surface, x.dem, seeds, x.grid), "depth")
+
+
+FLAGSHIP = flagship
+
+# Terrain ----------------------------------------------------------------------------------------
+
+
+@query("spill_fill")
+def _(spark, d):
+    x = Rasters(spark, d)
+    return terrain.fill_depressions(x.dem, x.grid)
+
+
+@query("pit_presence")
+def _(spark, d):
+    x = Rasters(spark, d)
+    return terrain.pit_presence(x.objects, terrain.fill_depressions(x.dem, x.grid), x.grid, 5)
+
+
+@query("depression_join")
+def _(spark, d):
+    x = Rasters(spark, d)
+    return terrain.add_depression_attributes(obj.object_attributes(x.objects, x.grid, x.dem, "mean"), x.objects, x.dem, x.grid)
+
+
+_FILL = "CASE WHEN (r + c) % 11 = 0 THEN NULL ELSE greatest(v, 0e0) END"
+
+
+@query("depression_metrics", sql("cell db mask obj", f"""
+    SELECT object_id, round(avg(d), 6) + 0e0 AS depre_mn, round(max(d), 6) + 0e0 AS depre_max, round(stddev_pop(d), 6) + 0e0 AS depre_sd,
+           round(coalesce(count(*) FILTER (d > 0.1e0) / nullif(count(d), 0), 0e0), 6) + 0e0 AS depre_pct, round(coalesce(sum(d), 0e0) * 100e0, 6) + 0e0 AS depre_vol
+    FROM (SELECT object_id, {_FILL} AS d FROM obj JOIN cell USING (r, c)) GROUP BY object_id"""))
+def _(spark, d):
+    x = Rasters(spark, d)
+    fill = x.made(_FILL.lower()).withColumnRenamed("v", "depth")
+    return rounded(terrain.depression_metrics(x.objects, fill, 100.0), "depre_mn", "depre_max", "depre_sd", "depre_pct", "depre_vol")
+
+
+@query("depth_metrics", sql("cell db mask obj dem", """
+    SELECT object_id, round(avg(d), 6) + 0e0 AS depth_mn, round(median(d), 6) + 0e0 AS depth_md, round(min(d), 6) + 0e0 AS depth_min, round(max(d), 6) + 0e0 AS depth_max, round(stddev_pop(d), 6) + 0e0 AS depth_sd,
+           round(count(*) FILTER (d < 0) / nullif(count(d), 0)::DOUBLE, 6) + 0e0 AS frac_neg, round(CASE WHEN count(d) > 0 THEN sum(greatest(d, 0e0)) * 100e0 END, 6) + 0e0 AS depth_vol
+    FROM (SELECT object_id, CASE WHEN object_id % 5 > 0 THEN 101e0 + object_id / 20 END - dem.v AS d FROM obj JOIN dem USING (r, c)) GROUP BY object_id"""))
+def _(spark, d):
+    x = Rasters(spark, d)
+    levels = x.objects.select(F.col("object_id").alias("ID")).distinct().withColumn("LWSE", F.when(F.col("ID") % 5 > 0, 101 + F.col("ID") / 20))
+    out = terrain.depth_metrics(x.objects, x.dem, levels, 100.0)
+    return rounded(out, *(c for c in out.columns if c != "object_id"))
+
+
+# Objects ----------------------------------------------------------------------------------------
+
+
+@query("object_attributes", sql("cell db mask obj dem", """
+    SELECT st0.k AS "ID", area_px, round(cent_row, 6) + 0e0 AS cent_row, round(cent_col, 6) + 0e0 AS cent_col, round(elev_mean, 6) + 0e0 AS elev_mean, round(elev_std, 6) + 0e0 AS elev_std, round(elev_min, 6) + 0e0 AS elev_min,
+           round(elev_max, 6) + 0e0 AS elev_max, round(peak.x, 4) + 0e0 AS "LWSE", round(area_px * 1e-6, 6) + 0e0 AS area_km2, round(cent_col, 6) + 0e0 AS x, round(-cent_row, 6) + 0e0 AS y
+    FROM (SELECT k, count(*) AS area_px, avg(r) AS cent_row, avg(c) AS cent_col, avg(v) AS elev_mean, stddev_pop(v) AS elev_std, min(v) AS elev_min, max(v) AS elev_max FROM src GROUP BY k) st0 JOIN peak USING (k)""",
+    {"src": "SELECT object_id AS k, obj.r, obj.c, dem.v FROM obj JOIN dem USING (r, c)"} | _KDE_PARTS))
+def _(spark, d):
+    x = Rasters(spark, d)
+    out = obj.object_attributes(x.objects, x.grid, x.dem)
+    return rounded(rounded(out, "LWSE", digits=4), *(c for c in out.columns if c not in ("ID", "area_px", "LWSE")))
+
+
+@query("transfer_labels", sql("cell db mask obj", """
+    SELECT new_id, old_id, n AS overlap, CASE WHEN old_id % 4 IN (0, 1) THEN old_id % 4 ELSE 0 END::INT AS label FROM (
+        SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY n DESC, old_id) AS o FROM (
+            SELECT (r // 30) * 5 + c // 13 + 1 AS new_id, object_id AS old_id, count(*) AS n FROM obj GROUP BY ALL)) WHERE o = 1""".replace("SELECT new_id,", "SELECT new_id::BIGINT AS new_id,")))
+def _(spark, d):
+    x = Rasters(spark, d)
+    new = x.objects.select("r", "c", F.expr("(r div 30) * 5 + c div 13 + 1").cast("long").alias("object_id"))
+    known = x.objects.select("object_id").distinct().withColumn("label", F.col("object_id") % 4)
+    return obj.transfer_labels(x.objects, new, known)
+
+
+def _judged(spark, d) -> DataFrame:
+    """Cell objects with a code that depends on their number."""
+    x = Rasters(spark, d)
+    return x.objects.select(F.col("object_id").alias("ID")).distinct().withColumn("predict", F.expr("case when ID % 9 = 8 then null else cast(ID % 8 as int) end"))
+
+
+@query("keep_large", sql("cell db mask obj", "SELECT r, c, object_id FROM obj WHERE object_id % 9 <> 8 AND object_id % 8 = 1"))
+def _(spark, d):
+    return obj.keep_objects(Rasters(spark, d).objects, _judged(spark, d))
+
+
+@query("filtered_mask", sql("cell db mask obj", "SELECT r, c FROM obj WHERE object_id % 9 <> 8 AND object_id % 8 IN (1, 2, 5, 7)"))
+def _(spark, d):
+    return obj.flood_mask(Rasters(spark, d).objects, _judged(spark, d))
+
+
+@query("predict_map", sql("cell db mask obj", "SELECT r, c, CASE WHEN object_id % 9 = 8 THEN -1 ELSE object_id % 8 END::INT AS predict FROM obj"))
+def _(spark, d):
+    return obj.predictions(Rasters(spark, d).objects, _judged(spark, d))
+
+
+@query("reference_delta", sql("ref", """
+    SELECT segment_id, round("LWSE", 6) + 0e0 AS "LWSE", round(m, 6) + 0e0 AS "LWSE_local", round("LWSE" - m, 6) + 0e0 AS "delta_LWSE" FROM ref JOIN near USING (segment_id)""",
+    {"near": """SELECT segment_id, avg(l) AS m FROM (SELECT a.segment_id, b."LWSE" AS l, row_number() OVER (PARTITION BY a.segment_id ORDER BY pow(a.col - b.col, 2) + pow(a."row" - b."row", 2), b.segment_id) AS o
+        FROM ref a JOIN ref b ON a.segment_id <> b.segment_id) WHERE o <= 5 GROUP BY 1"""}))
+def _(spark, d):
+    return rounded(segments.reference_delta(fx.reference(spark, d)).select("segment_id", "LWSE", "LWSE_local", "delta_LWSE"), "LWSE", "LWSE_local", "delta_LWSE")
+
+
+@query("lwse_outliers", sql("ref", """
+    SELECT a.segment_id AS id, round(a."LWSE", 6) + 0e0 AS "LWSE", round(CASE WHEN a."LWSE" < m - 2 * s OR a."LWSE" > m + 3 * s THEN i ELSE a."LWSE" END, 6) + 0e0 AS "LWSE_new" FROM ref a JOIN near USING (segment_id)""",
+    {"near": """SELECT segment_id, avg(l) AS m, stddev_pop(l) AS s, sum(l / d) / sum(1 / d) AS i FROM (SELECT a.segment_id, b."LWSE" AS l, greatest(sqrt(pow(a.col - b.col, 2) + pow(a."row" - b."row", 2)), 1e-10) AS d,
+        row_number() OVER (PARTITION BY a.segment_id ORDER BY pow(a.col - b.col, 2) + pow(a."row" - b."row", 2), b.segment_id) AS o FROM ref a JOIN ref b ON a.segment_id <> b.segment_id) WHERE o <= 8 GROUP BY 1"""}))
+def _(spark, d):
+    pts = fx.reference(spark, d).select(F.col("segment_id").alias("id"), F.col("col").alias("x"), F.col("row").alias("y"), "LWSE")
+    return rounded(segments.replace_outliers(pts, 8).select("id", "LWSE", "LWSE_new"), "LWSE", "LWSE_new")
+
+
+@query("distance_to_flood", sql("objects ref", """SELECT "ID", round(min(sqrt(pow(cent_col - col, 2) + pow(cent_row - "row", 2))), 6) + 0e0 AS distance FROM objects, ref GROUP BY 1"""))
+def _(spark, d):
+    return rounded(distance_to_flood(fx.objects(spark, d), fx.reference(spark, d)).select("ID", "distance"), "distance")
+
+
+@query("knn_buckets", sql("objects ref", """
+    SELECT "ID" AS id, segment_id AS nid, o::INT AS rank FROM (SELECT "ID", segment_id, row_number() OVER (PARTITION BY "ID" ORDER BY pow(cent_col - col, 2) + pow(cent_row - "row", 2), segment_id) AS o FROM objects, ref) WHERE o <= 5"""))
+def _(spark, d):
+    left = fx.objects(spark, d).select(F.col("ID").alias("id"), F.col("cent_col").alias("x"), F.col("cent_row").alias("y"))
+    right = fx.reference(spark, d).select(F.col("segment_id").alias("nid"), F.col("col").alias("x"), F.col("row").alias("y"))
+    return knn.nearest(left, right, 5, small=0).select("id", "nid", "rank")
+
+
+# Contours ---------------------------------------------------------------------------------------
+
+
+def _blobs(spark, d) -> tuple[Rasters, DataFrame]:
+    x = Rasters(spark, d)
+    smooth = focal.smooth_mask(x.mask, x.grid, "de")
+    return x, components.numbered(components.label(smooth.where("v = 1"), x.grid))
+
+
+@query("boundary_segments")
+def _(spark, d):
+    return segments.boundary_segments(_blobs(spark, d)[1], 20, 50)
+
+
+@query("reference_layer")
+def _(spark, d):
+    x, labels = _blobs(spark, d)
+    return segments.reference_layer(labels, x.dem, x.grid, 20, 50)
+
+
+@query("lwse_points")
+def _(spark, d):
+    x, labels = _blobs(spark, d)
+    return segments.level_layer(labels, x.dem, x.grid, 20, 50)
+
+
+# Rules ------------------------------------------------------------------------------------------
+
+_P0 = 'SELECT *, CASE WHEN area_px < 30 THEN 0 END AS p0 FROM objects'
+_P1 = {
+    "p0_": _P0,
+    "ys": "SELECT ln(1 + area_km2) AS y FROM p0_ WHERE p0 IS NULL",
+    **_SPLIT,
+    "p1_": "SELECT *, CASE WHEN p0 IS NULL AND ln(1 + area_km2) > (SELECT y FROM best) THEN 1 ELSE p0 END AS p1 FROM p0_",
+}
+_P2 = _P1 | {"p2_": "SELECT *, CASE WHEN p1 IS NULL AND has_pit = 1 AND depth_vol < depre_vol THEN 2 ELSE p1 END AS p2 FROM p1_"}
+_REFD = {
+    "rnear": """SELECT segment_id, avg(l) AS m FROM (SELECT a.segment_id, b."LWSE" AS l, row_number() OVER (PARTITION BY a.segment_id ORDER BY pow(a.col - b.col, 2) + pow(a."row" - b."row", 2), b.segment_id) AS o
+        FROM ref a JOIN ref b ON a.segment_id <> b.segment_id) WHERE o <= 5 GROUP BY 1""",
+    "lim": """SELECT greatest(avg("LWSE" - m) + 2 * stddev_samp("LWSE" - m), 5e0) AS hi, avg("LWSE" - m) - 2 * stddev_samp("LWSE" - m) AS lo FROM ref JOIN rnear USING (segment_id)""",
+    "onear": """SELECT "ID", avg(l) AS m FROM (SELECT a."ID", b."LWSE" AS l, row_number() OVER (PARTITION BY a."ID" ORDER BY pow(cent_col - col, 2) + pow(cent_row - "row", 2), segment_id) AS o FROM objects a, ref b) WHERE o <= 5 GROUP BY 1""",
+}
+_P3 = _P2 | _REFD | {"p3_": """SELECT p2_.*, onear.m AS l, CASE WHEN p2 IS NULL AND p2_."LWSE" - onear.m < lo THEN 5 WHEN p2 IS NULL AND p2_."LWSE" - onear.m > hi THEN 4 ELSE p2 END AS p3 FROM p2_ JOIN onear USING ("ID"), lim"""}
+_P4 = _P3 | {
+    "dist": """SELECT a."ID", min(sqrt(pow(a.cent_col - b.cent_col, 2) + pow(a.cent_row - b.cent_row, 2))) AS d FROM p3_ a, p3_ b WHERE b.p3 = 1 GROUP BY 1""",
+    "ys4": 'SELECT ln(1 + d) AS y FROM p3_ JOIN dist USING ("ID") WHERE p3 IS NULL',
+    "srt4": _SPLIT["srt"].replace("ys", "ys4"),
+    "best4": _SPLIT["best"].replace("srt", "srt4"),
+    "p4_": """SELECT p3_.*, d, CASE WHEN p3 IS NULL THEN CASE WHEN d > (SELECT exp((b / a + (s - b) / (n - a)) / 2) - 1 FROM best4) THEN 6 ELSE 7 END ELSE p3 END AS p4 FROM p3_ JOIN dist USING ("ID")""",
+}
+
+
+def _segments_ref(spark, d) -> DataFrame:
+    return segments.reference_delta(fx.reference(spark, d))
+
+
+@query("rule0", sql("objects", 'SELECT "ID", p0 AS predict FROM p0_', {"p0_": _P0}))
+def _(spark, d):
+    return ObjectRules.start(fx.objects(spark, d)).small(30).results().select("ID", "predict")
+
+
+@query("rule1", sql("objects", 'SELECT "ID", p1 AS predict FROM p1_', _P1))
+def _(spark, d):
+    return ObjectRules.start(fx.objects(spark, d)).small(30).large().results().select("ID", "predict")
+
+
+@query("rule2", sql("objects", 'SELECT "ID", p2 AS predict FROM p2_', _P2))
+def _(spark, d):
+    return ObjectRules.start(fx.objects(spark, d)).small(30).large().depressions().results().select("ID", "predict")
+
+
+@query("rule3", sql("objects ref", 'SELECT "ID", p3 AS predict, round(CASE WHEN p2 IS NULL THEN "LWSE" - l END, 6) + 0e0 AS "delta_LWSE" FROM p3_', _P3))
+def _(spark, d):
+    return rounded(ObjectRules.start(fx.objects(spark, d)).small(30).large().depressions().levels(_segments_ref(spark, d)).results().select("ID", "predict", "delta_LWSE"), "delta_LWSE")
+
+
+@query("rule4", sql("objects ref", 'SELECT "ID", round(d, 6) + 0e0 AS distance, CASE WHEN d > 60 THEN 6 ELSE 7 END AS predict FROM dd', {"dd": 'SELECT "ID", min(sqrt(pow(cent_col - col, 2) + pow(cent_row - "row", 2))) AS d FROM objects, ref GROUP BY 1'}))
+def _(spark, d):
+    return rounded(ObjectRules.start(fx.objects(spark, d)).distances(60, fx.reference(spark, d)).results().select("ID", "distance", "predict"), "distance")
+
+
+def _chain(spark, d) -> ObjectRules:
+    return ObjectRules.start(fx.objects(spark, d)).run(_segments_ref(spark, d), 30)
+
+
+@query("rule_chain", sql("objects ref", 'SELECT "ID", round(d, 6) + 0e0 AS distance, p4 AS predict FROM p4_', _P4))
+def _(spark, d):
+    return rounded(_chain(spark, d).results().select("ID", "distance", "predict"), "distance")
+
+
+@query("predict_summary", sql("objects ref", "SELECT p4 AS predict, count(*) AS n FROM p4_ GROUP BY 1", _P4))
+def _(spark, d):
+    return _chain(spark, d).summary()
+
+
+@query("validate", sql("objects ref", """
+    SELECT tp, fp, fn, tn, p AS precision, q AS recall, (tp + tn) / (tp + fp + fn + tn)::DOUBLE AS accuracy, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0e0 END AS f1
+    FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0e0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0e0 END AS q FROM (
+        SELECT count(*) FILTER (t = 1 AND f) AS tp, count(*) FILTER (t = 0 AND f) AS fp, count(*) FILTER (t = 1 AND NOT f) AS fn, count(*) FILTER (t = 0 AND NOT f) AS tn
+        FROM (SELECT CASE WHEN label = 3 THEN 0 ELSE label END AS t, coalesce(p4 IN (1, 5, 7), FALSE) AS f FROM p4_)))""", _P4))
+def _(spark, d):
+    return _chain(spark, d).validate()
+
+
+@query("save_columns", sql("objects", """
+    SELECT "ID", area_px, area_km2, cent_col, cent_row, "LWSE", has_pit, depth_vol * 1e8 / 1e6 AS "depth_vMm3", depre_vol * 1e8 / 1e6 AS "depre_vMm3", label, area_px * 5e8 / 1e6 AS "a_long_c_M" FROM objects"""))
+def _(spark, d):
+    o = fx.objects(spark, d)
+    return sinks.point_layer(o.withColumns({"depth_vol": F.col("depth_vol") * 1e8, "depre_vol": F.col("depre_vol") * 1e8, "a_long_column": F.col("area_px") * 5e8}))
+
+
+# Catalog ----------------------------------------------------------------------------------------
+
+_BOX4, _FROM, _TO = (-100.0, -40.0, 60.0, 40.0), "2024-01-05", "2024-03-20"
+_IN = "xmin <= 60 AND xmax >= -100 AND ymin <= 40 AND ymax >= -40 AND ts >= epoch_ms(TIMESTAMP '2024-01-05') AND ts < epoch_ms(TIMESTAMP '2024-03-20')"
+
+
+def _search(spark, d, kind):
+    found, _ = catalog.search(fx.scenes(spark, d), _BOX4, _FROM, _TO)
+    return found[kind].select("image_id", "ts", "sensor", "cloud")
+
+
+for _kind, _cond in (("s1", "sensor = 'S1' AND mode = 'IW' AND both_pol"), ("s2", "sensor = 'S2' AND cloud <= 30"), ("landsat", "sensor IN ('L8', 'L9') AND cloud <= 30")):
+
+    @query(f"search_{_kind}", sql("scenes", f"SELECT image_id, ts, sensor, cloud FROM scenes WHERE {_cond} AND {_IN}"))
+    def _(spark, d, kind=_kind):
+        return _search(spark, d, kind)
+
+
+_ALL = f"SELECT * FROM scenes WHERE ((sensor = 'S1' AND mode = 'IW' AND both_pol) OR (sensor <> 'S1' AND cloud <= 30)) AND {_IN}"
+
+
+@query("search_all", sql("scenes", f"SELECT sensor, image_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS date, (row_number() OVER (ORDER BY ts, image_id) - 1)::INT AS idx FROM ({_ALL})"))
+def _(spark, d):
+    found, _ = catalog.search(fx.scenes(spark, d), ",".join(map(str, _BOX4)), _FROM, _TO)
+    return catalog.as_table(found).select("sensor", "image_id", "date", "idx")
+
+
+@query("select_records", sql("scenes", "SELECT image_id, sensor FROM scenes WHERE image_id LIKE '%7'"))
+def _(spark, d):
+    s = fx.scenes(spark, d)
+    return catalog.pick(s, s.where(F.col("image_id").endswith("7")).select("image_id")).select("image_id", "sensor")
+
+
+@query("scene_names", sql("scenes", "SELECT image_id, sensor || '_' || strftime(make_timestamp(ts * 1000), '%Y%m%d') || '_' || substr(string_split(image_id, '/')[-1], 1, 18) AS name FROM scenes"))
+def _(spark, d):
+    s = fx.scenes(spark, d)
+    return s.select("image_id", catalog.output_name(F.col("sensor"), catalog.day(F.col("ts")), F.col("image_id")).alias("name"))
+
+
+@query("scene_labels", sql("scenes", """
+    SELECT image_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') || '  |  ' || CASE sensor
+        WHEN 'S1' THEN 'N/A  |  rel-orbit –  |  ' || string_split(image_id, '/')[-1]
+        WHEN 'S2' THEN coalesce(printf('cloud %.1f%%', cloud), 'cloud N/A') || '  |  tile N/A'
+        ELSE '?  |  ' || coalesce(printf('cloud %.1f%%', cloud), 'cloud N/A') || '  |  path/row –/–' END AS label
+    FROM (SELECT image_id, ts, sensor, floor(cloud) AS cloud FROM scenes)"""))
+def _(spark, d):
+    none = {c: F.lit(None).cast("string") for c in ("orbit", "rel_orbit", "tile", "spacecraft", "path", "row")}
+    s = fx.scenes(spark, d).withColumn("cloud", F.floor("cloud").cast("double"))
+    return catalog.labels(s.withColumns(none | {"date": catalog.day(F.col("ts"))})).select("image_id", "label")
+
+
+@query("utm_zone", sql("scenes", """
+    SELECT image_id, 'EPSG:' || CASE WHEN ymin >= 0 THEN '326' ELSE '327' END || lpad((floor((xmin + 180) / 6)::INT + 1)::VARCHAR, 2, '0') AS zone FROM scenes WHERE ymin BETWEEN -80 AND 84"""))
+def _(spark, d):
+    return fx.scenes(spark, d).select("image_id", geo.utm_zone(F.col("ymin"), F.col("xmin")).alias("zone"))
+
+
+@query("radiometric_scale", sql("scenes", """
+    SELECT image_id, round(CASE sensor WHEN 'S1' THEN q WHEN 'S2' THEN greatest(0e0, least(1e0, q * 1e-4)) ELSE greatest(0e0, least(1e0, q * 2.75e-5 - 0.2e0)) END, 6) + 0e0 AS v FROM (SELECT *, cloud * 300 AS q FROM scenes)"""))
+def _(spark, d):
+    return rounded(fx.scenes(spark, d).select("image_id", catalog.scaled(F.col("sensor"), F.col("cloud") * 300).alias("v")), "v")
+
+
+@query("scale_map", sql("scenes", "SELECT image_id, CASE sensor WHEN 'S1' THEN 20e0 WHEN 'L8' THEN 30e0 ELSE 10e0 END AS scale FROM scenes"))
+def _(spark, d):
+    return catalog.with_scale(fx.scenes(spark, d), {"S1": 20.0, "L8": 30.0}).select("image_id", "scale")
+
+
+@query("tile_plan", sql("pts", """
+    SELECT id, (bj * nx + bi)::INT AS block, (tj * ceil(bw / 1000e0) + ti)::INT AS tile, round(x0 + ti * 10000e0, 3) + 0e0 AS x0, round(greatest(y0 + sy - (tj + 1) * 10000e0, y0), 3) + 0e0 AS y0,
+           round(least(x0 + (ti + 1) * 10000e0, x0 + sx), 3) + 0e0 AS x1, round(y0 + sy - tj * 10000e0, 3) + 0e0 AS y1, least(1000, bw - ti * 1000)::INT AS width, least(1000, bh - tj * 1000)::INT AS height
+    FROM (SELECT *, unnest(range(0, greatest(ceil(bw / 1000e0)::BIGINT, 1))) AS ti FROM (SELECT *, unnest(range(0, greatest(ceil(bh / 1000e0)::BIGINT, 1))) AS tj FROM (
+        SELECT id, bi, bj, nx, xmin + bi * sx AS x0, ymin + bj * sy AS y0, sx, sy, ceil(sx / 10)::BIGINT AS bw, ceil(sy / 10)::BIGINT AS bh FROM (
+            SELECT *, unnest(range(0, nx::BIGINT)) AS bi FROM (SELECT *, unnest(range(0, ny::BIGINT)) AS bj FROM (
+                SELECT *, (xmax - xmin) / nx AS sx, (ymax - ymin) / ny AS sy FROM (
+                    SELECT *, CASE WHEN greatest(w, h) > 10000 THEN ceil(w / 10000e0) ELSE 1 END AS nx, CASE WHEN greatest(w, h) > 10000 THEN ceil(h / 10000e0) ELSE 1 END AS ny FROM (
+                        SELECT *, ceil((xmax - xmin) / 10) AS w, ceil((ymax - ymin) / 10) AS h FROM ext))))))))""",
+    {"raw": "SELECT s_suppkey AS id, s_suppkey * 1000.5e0 AS xmin, s_suppkey * 777e0 AS ymin, s_suppkey * 1000.5e0 + 12000 + s_suppkey * 1500 AS xmax, s_suppkey * 777e0 + 9000 + s_suppkey * 700 AS ymax FROM supplier",
+     "ext": "SELECT id, xmin - xmin % 60 AS xmin, ymin - ymin % 60 AS ymin, xmax - xmax % 60 AS xmax, ymax - ymax % 60 AS ymax FROM raw"}))
+def _(spark, d):
+    k = F.col("s_suppkey")
+    x, y = k * F.lit(1000.5), k * F.lit(777.0)
+    ext = fx.table(spark, d, "supplier").select(k.alias("id"), x.alias("xmin"), y.alias("ymin"), (x + 12000 + k * 1500).alias("xmax"), (y + 9000 + k * 700).alias("ymax"))
+    return rounded(catalog.tile_plan(ext), "x0", "y0", "x1", "y1", digits=3)
+
+
+@query("block_split", sql("pts", """
+    SELECT id, (i * ny + j)::INT AS part, round(x1 + i * (x2 - x1) / nx, 6) + 0e0 AS x1, round(y1 + j * (y2 - y1) / ny, 6) + 0e0 AS y1, round(x1 + (i + 1) * (x2 - x1) / nx, 6) + 0e0 AS x2, round(y1 + (j + 1) * (y2 - y1) / ny, 6) + 0e0 AS y2
+    FROM (SELECT *, unnest(range(0, nx)) AS i FROM (SELECT *, unnest(range(0, ny)) AS j FROM (
+        SELECT s_suppkey AS id, 0e0 AS x1, 10e0 AS y1, 1e0 + s_suppkey AS x2, 25e0 AS y2, ceil((100 + s_suppkey * 7) / 128e0)::BIGINT AS nx, ceil((500 - s_suppkey % 400) / 128e0)::BIGINT AS ny FROM supplier)))"""))
+def _(spark, d):
+    k = F.col("s_suppkey")
+    ext = fx.table(spark, d, "supplier").select(k.alias("id"), F.lit(0.0).alias("x1"), F.lit(10.0).alias("y1"), (F.lit(1.0) + k).alias("x2"), F.lit(25.0).alias("y2"), (100 + k * 7).alias("w"), (500 - k % 400).alias("h"))
+    return rounded(catalog.split_blocks(ext, 128), "x1", "y1", "x2", "y2")
+
+
+@query("area_of_interest", sql("scenes", "SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmin) AS xmax, max(ymin) AS ymax FROM scenes"))
+def _(spark, d):
+    box = geo.area_of_interest(fx.scenes(spark, d).select(F.col("xmin").alias("x"), F.col("ymin").alias("y")))
+    return spark.createDataFrame([tuple(box)], "xmin double, ymin double, xmax double, ymax double")
+
+
+@query("utm_round_trip")
+def _(spark, d):
+    pts = fx.scenes(spark, d).where("ymin between -80 and 80 and xmin between -96 and -90").select("image_id", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    return rounded(geo.reproject(geo.reproject(pts, 4326, 32615), 32615, 4326), "x", "y")
+
+
+# Whole stages -----------------------------------------------------------------------------------
+
+
+@query("detect_flood")
+def _(spark, d):
+    from inundata.plans.flows import detect
+
+    x = Rasters(spark, d)
+    return detect(x.db, g.seed(x.occurrence), x.grid, -15.5, 20, 30)
+
+
+@query("assess_objects")
+def _(spark, d):
+    from inundata.plans.flows import assess
+
+    x = Rasters(spark, d)
+    smooth = focal.smooth_mask(x.mask, x.grid, "d")
+    return assess(smooth, x.dem, x.grid, 20, 10, 20)[1].results()
+
+
+@query("reconstruct_depth")
+def _(spark, d):
+    from inundata.plans.flows import reconstruct
+
+    x = Rasters(spark, d)
+    with Scratch(spark) as scratch:
+        mask = scratch.save(focal.smooth_mask(x.mask, x.grid, "de"), "mask", keep=True)
+    return reconstruct(mask, x.dem, x.grid, 20, 50)
