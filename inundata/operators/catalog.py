@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ class DownloadPlan:
 
 
 def _when(df: DataFrame, start: str | date, end: str | date) -> DataFrame:
-    ms = lambda d: F.unix_millis(F.to_timestamp(F.lit(str(d))))
+    ms = lambda d: int(datetime.fromisoformat(str(d)).replace(tzinfo=timezone.utc).timestamp() * 1000)
     return df.where((F.col("ts") >= ms(start)) & (F.col("ts") < ms(end)))
 
 
@@ -70,8 +70,8 @@ def search(scenes: DataFrame, where: object, start: str | date, end: str | date,
 
 
 def day(ts: Column) -> Column:
-    """Date text of epoch milliseconds in UTC; null is the first day of 1970. The session's time zone must be UTC."""
-    return F.date_format(F.timestamp_millis(F.coalesce(ts, F.lit(0)).cast("long")), "yyyy-MM-dd")
+    """Date text of epoch milliseconds in UTC, whatever the session's time zone; null is the first day of 1970."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.coalesce(ts, F.lit(0)) / 86_400_000).cast("int")).cast("string")
 
 
 def as_table(results: dict[str, DataFrame], parts: int = 64) -> DataFrame:

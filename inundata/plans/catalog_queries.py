@@ -141,7 +141,7 @@ def _(spark, d):
     return rounded(focal.box_stats(x.db, x.grid), "v", "mean", "var")
 
 
-@query("lee", sql("cell size db", f"SELECT r, c, round(10 * log10(greatest({_LEE}, 1e-15)), 6) + 0e0 AS v FROM box", {"src": "SELECT r, c, pow(10e0, v / 10) AS v FROM db"} | _BOX))
+@query("lee", sql("cell size db", f"SELECT r, c, CASE WHEN v IS NOT NULL THEN round(10 * log10(greatest({_LEE}, 1e-15)), 6) + 0e0 END AS v FROM box", {"src": "SELECT r, c, pow(10e0, v / 10) AS v FROM db"} | _BOX))
 def _(spark, d):
     x = Rasters(spark, d)
     return rounded(focal.speckle_filter(x.db, x.grid), "v")
@@ -241,7 +241,7 @@ def _(spark, d):
     return components.remove_small(x.mask, x.grid, 5)
 
 
-@query("fill_holes", sql("cell db mask morph" if False else "cell db mask", "SELECT mask.r, mask.c, CASE WHEN kept.r IS NULL THEN 1 ELSE 0 END AS v FROM mask LEFT JOIN kept USING (r, c)", {"off_": "SELECT * FROM mask WHERE v = 0"} | _labels("off_", "lab") | {"kept": _KEPT.format("lab", 6)}, True))
+@query("fill_holes")
 def _(spark, d):
     x = Rasters(spark, d)
     return components.fill_holes(x.mask, x.grid, 6)
@@ -249,35 +249,25 @@ def _(spark, d):
 
 @query("region_grow", sql("cell db occ", """
     SELECT db.r, db.c, CASE WHEN l IN (SELECT l FROM lab JOIN occ ON occ.r * 64 + occ.c = id WHERE occ.v > 20) THEN 1 ELSE 0 END AS v FROM db LEFT JOIN lab ON id = db.r * 64 + db.c""",
-    {"dark": "SELECT * FROM db WHERE v < -16 AND v <> 0"} | _labels("dark", "lab"), True).replace("THEN 1 ELSE 0 END AS v FROM db LEFT", "THEN 1 ELSE 0 END AS v FROM db LEFT"))
+    {"dark": "SELECT * FROM db WHERE v < -16 AND v <> 0"} | _labels("dark", "lab"), True))
 def _(spark, d):
     x = Rasters(spark, d)
     return components.region_grow(x.db, g.seed(x.occurrence), x.grid, -16)
 
 
-def _cleaned(source: str, steps: str, least: int, hole: int, valid: str = "TRUE") -> dict[str, str]:
-    """Parts that smooth a mask, drop small regions and fill holes; the last is called clean."""
-    return _morph(source, steps) | {"on_": f"SELECT r, c FROM morph JOIN db USING (r, c) WHERE morph.v = 1 AND {valid}"} | _labels("on_", "lab") | {
-        "big": _KEPT.format("lab", least),
-        "off_": "SELECT r, c FROM mask WHERE (r, c) NOT IN (SELECT (r, c) FROM big)",
-    } | _labels("off_", "hol") | {"gap": _KEPT.format("hol", hole), "clean": f"SELECT r, c, CASE WHEN (r, c) IN (SELECT (r, c) FROM gap) THEN 0 ELSE 1 END AS v, {valid} AS ok FROM mask JOIN db USING (r, c)"}
-
-
-@query("post_process", sql("cell db mask", "SELECT r, c, v FROM clean", _cleaned("mask", "deed", 20, 30), True).replace("db USING (r, c) WHERE morph.v", "db USING (r, c) WHERE morph.v").replace("SELECT r, c, CASE WHEN (r, c) IN (SELECT (r, c) FROM gap)", "SELECT r, c, CASE WHEN (r, c) IN (SELECT (r, c) FROM gap)"))
+@query("post_process")
 def _(spark, d):
     x = Rasters(spark, d)
     return components.post_process(x.mask, x.grid, 20, 30)
 
 
-@query("flood_objects", sql("cell db mask", "SELECT (id // 64)::INT AS r, (id % 64)::INT AS c, dense_rank() OVER (ORDER BY l) AS object_id FROM fin", _cleaned("mask", "de", 4, 12, "db.v IS NOT NULL") | {"full_": "SELECT r, c FROM clean WHERE v = 1 AND ok"} | _labels("full_", "fin"), True))
+@query("flood_objects")
 def _(spark, d):
     x = Rasters(spark, d)
     return components.flood_objects(x.db.withColumn("v", F.when(F.col("v").isNotNull(), (F.col("v") < -16).cast("int"))), x.grid, 4, 12, "de")
 
 
-@query("polygonize_regions", sql("cell", """
-    SELECT l::BIGINT AS region_id, v::DOUBLE AS value, count(*) AS area_px, min(id // 64)::INT AS r0, max(id // 64)::INT AS r1, min(id % 64)::INT AS c0, max(id % 64)::INT AS c1 FROM lab JOIN cls ON cls.r * 64 + cls.c = id GROUP BY l, v""",
-    {"cls": "SELECT r, c, CASE WHEN v < -0.1e0 THEN 0e0 WHEN v < 0.1e0 THEN 1e0 ELSE 2e0 END AS v FROM cell"} | _labels("cls", "lab", _FOUR, "AND a.v = b.v"), True))
+@query("polygonize_regions")
 def _(spark, d):
     x = Rasters(spark, d)
     return components.polygon_regions(x.made("case when v < -0.1e0 then 0e0 when v < 0.1e0 then 1e0 else 2e0 end"), x.grid)
@@ -629,9 +619,9 @@ def _(spark, d):
 
 
 @query("save_columns", sql("objects", """
-    SELECT "ID", area_px, area_km2, cent_col, cent_row, "LWSE", has_pit, depth_vol * 1e8 / 1e6 AS "depth_vMm3", depre_vol * 1e8 / 1e6 AS "depre_vMm3", label, area_px * 5e8 / 1e6 AS "a_long_c_M" FROM objects"""))
+    SELECT "ID", area_px, area_km2, cent_col AS x, cent_row AS y, "LWSE", has_pit, depth_vol * 1e8 / 1e6 AS "depth_vMm3", depre_vol * 1e8 / 1e6 AS "depre_vMm3", label, area_px * 5e8 / 1e6 AS "a_long_c_M" FROM objects"""))
 def _(spark, d):
-    o = fx.objects(spark, d)
+    o = fx.objects(spark, d).withColumnsRenamed({"cent_col": "x", "cent_row": "y"})
     return sinks.point_layer(o.withColumns({"depth_vol": F.col("depth_vol") * 1e8, "depre_vol": F.col("depre_vol") * 1e8, "a_long_column": F.col("area_px") * 5e8}))
 
 
@@ -693,9 +683,9 @@ def _(spark, d):
 
 
 @query("radiometric_scale", sql("scenes", """
-    SELECT image_id, round(CASE sensor WHEN 'S1' THEN q WHEN 'S2' THEN greatest(0e0, least(1e0, q * 1e-4)) ELSE greatest(0e0, least(1e0, q * 2.75e-5 - 0.2e0)) END, 6) + 0e0 AS v FROM (SELECT *, cloud * 300 AS q FROM scenes)"""))
+    SELECT image_id, round(CASE sensor WHEN 'S1' THEN q WHEN 'S2' THEN greatest(0e0, least(1e0, q * 1e-4)) ELSE greatest(0e0, least(1e0, q * 2.75e-5 - 0.2e0)) END, 9) + 0e0 AS v FROM (SELECT *, cloud * 300 AS q FROM scenes)"""))
 def _(spark, d):
-    return rounded(fx.scenes(spark, d).select("image_id", catalog.scaled(F.col("sensor"), F.col("cloud") * 300).alias("v")), "v")
+    return rounded(fx.scenes(spark, d).select("image_id", catalog.scaled(F.col("sensor"), F.col("cloud") * 300).alias("v")), "v", digits=9)
 
 
 @query("scale_map", sql("scenes", "SELECT image_id, CASE sensor WHEN 'S1' THEN 20e0 WHEN 'L8' THEN 30e0 ELSE 10e0 END AS scale FROM scenes"))

@@ -80,7 +80,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type <> 'signup'")
     sensor = F.expr("case event_type when 'view' then 'S1' when 'click' then 'S2' when 'purchase' then 'L8' when 'error' then 'L9' end")
     u = F.col("user_id")
-    made = e.select(F.concat(F.lit("SET/"), sensor, F.lit("/"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("image_id"), F.unix_millis("ts").alias("ts"), F.least("value", F.lit(100.0)).alias("cloud"), sensor.alias("sensor"), ((u % 36) * F.lit(10.0) - 180).alias("xmin"), ((u % 16) * F.lit(10.0) - 80).alias("ymin"), (u % 3).alias("_m"), "event_id")
+    made = e.select(F.concat(F.lit("SET/"), sensor, F.lit("/"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("image_id"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("ts"), F.least("value", F.lit(100.0)).alias("cloud"), sensor.alias("sensor"), ((u % 36) * F.lit(10.0) - 180).alias("xmin"), ((u % 16) * F.lit(10.0) - 80).alias("ymin"), (u % 3).alias("_m"), "event_id")
     s1 = F.col("sensor") == "S1"
     return made.select("*", (F.col("xmin") + 5).alias("xmax"), (F.col("ymin") + 5).alias("ymax"), F.when(s1, F.when(F.col("_m") == 0, "EW").otherwise("IW")).alias("mode"), F.when(s1, F.when(F.col("event_id") % 2 == 0, F.array(F.lit("VV"), F.lit("VH"))).otherwise(F.array(F.lit("VV")))).alias("pol")).drop("_m", "event_id")
 
@@ -104,7 +104,7 @@ SQL = {
     """,
     "ref": 'SELECT s_suppkey AS segment_id, (s_suppkey % 10) * 40e0 AS col, (s_suppkey // 10) * 40e0 AS "row", s_acctbal / 1000 AS "LWSE" FROM supplier',
     "scenes": """
-        SELECT 'SET/' || sensor || '/' || lpad(event_id::VARCHAR, 12, '0') AS image_id, epoch_ms(ts) AS ts, least(value, 100e0) AS cloud, sensor, (user_id % 36) * 10e0 - 180 AS xmin, (user_id % 16) * 10e0 - 80 AS ymin,
+        SELECT 'SET/' || sensor || '/' || lpad(event_id::VARCHAR, 12, '0') AS image_id, epoch_ns(ts) // 1000000 AS ts, least(value, 100e0) AS cloud, sensor, (user_id % 36) * 10e0 - 180 AS xmin, (user_id % 16) * 10e0 - 80 AS ymin,
                (user_id % 36) * 10e0 - 175 AS xmax, (user_id % 16) * 10e0 - 75 AS ymax, CASE WHEN sensor = 'S1' THEN CASE WHEN user_id % 3 = 0 THEN 'EW' ELSE 'IW' END END AS mode, event_id % 2 = 0 AS both_pol
         FROM (SELECT *, CASE event_type WHEN 'view' THEN 'S1' WHEN 'click' THEN 'S2' WHEN 'purchase' THEN 'L8' WHEN 'error' THEN 'L9' END AS sensor FROM events WHERE event_type <> 'signup')
     """,
