@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from inundata.llm import common
 
-#: Words that a worker remembers with their ids.
-REMEMBERED = 300_000
+#: Stretches between white space, and words, that a worker remembers with their ids, and as many older ones.
+REMEMBERED = 350_000
+#: Separators to Python, but not to the vocabulary's pattern.
+_ODD = regex.compile("[\x1c-\x1f]")
 #: Letters below this code point are normalised here, texts with others by the library's normaliser.
 PLAIN = 0x250
 
@@ -32,6 +36,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def pack(ids: list[int]) -> bytes:
+    """Unsigned 32-bit integers, little-endian."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class PairTable:
     """Which tokens may follow each other in an encoding.
 
@@ -46,25 +58,31 @@ class PairTable:
     def __init__(self, parts: dict[int, tuple[int, int]], rank: dict[int, int], merges: dict[tuple[int, int], int]) -> None:
         self.parts, self.rank, self.merges = parts, rank, merges
         self.known: dict[tuple[int, int], bool] = {}
+        self.chains: tuple[dict, dict] = ({}, {})
 
-    def chain(self, token: int, side: int, until: float) -> list[tuple[int, int, float]]:
-        """(symbol, from, to) at one end of a token, the newest first."""
-        out = []
-        while True:
-            born = self.rank.get(token, -1)
-            out.append((token, born, until))
-            if token not in self.parts:
-                return out
-            until, token = born, self.parts[token][side]
+    def chain(self, token: int, side: int) -> list[tuple[int, int]]:
+        """(symbol, rank of its merge) at the right (1) or left (0) end of a token, the newest first; letters have rank -1."""
+        known = self.chains[side].get(token)
+        if known is None:
+            rest = self.chain(self.parts[token][side], side) if token in self.parts else []
+            known = self.chains[side][token] = [(token, self.rank.get(token, -1)), *rest]
+        return known
 
     def fits(self, left: int, right: int, until: float = float("inf")) -> bool:
-        for x, x_from, x_to in self.chain(left, 1, until):
-            for y, y_from, y_to in self.chain(right, 0, until):
-                if x_from < y_to and y_from < x_to:
-                    at = self.merges.get((x, y))
-                    if at is not None and at < x_to and at <= y_to and at < until:  # of equal merges the left one comes first
-                        return False
-        return True
+        """Goes back in time from ``until``: the later born of the two border symbols falls into its parts."""
+        xs, ys = self.chain(left, 1), self.chain(right, 0)
+        get, i, j, x_end, y_end = self.merges.get, 0, 0, until, until
+        while True:
+            (x, x_born), (y, y_born) = xs[i], ys[j]
+            at = get((x, y))
+            if at is not None and at < x_end and at <= y_end and at < until:  # of equal merges the left one comes first
+                return False
+            if x_born < 0 and y_born < 0:
+                return True
+            if x_born >= y_born:
+                i, x_end = i + 1, x_born
+            if y_born >= x_born:
+                j, y_end = j + 1, y_born
 
     def __call__(self, left: int, right: int) -> bool:
         key = (left, right)
@@ -112,26 +130,29 @@ class Encoder:
             if whole[i]:
                 self.matcher.add_word(letters(name), (i, len(letters(name))))
         self.matcher.make_automaton()
-        self.added = {k: np.array([v], "<u4").tobytes() for k, v in added.items()}
+        self.added = {k: pack([v]) for k, v in added.items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in added) + ")") if added else None
         self.split = regex.compile(WORDS)
         self.plain = regex.compile(rf"[\x00-\u{PLAIN - 1:04x}]*")
         self.path, self.library = path, None
-        self.words = _Words(self)
+        self.held = _Held(self.stretch, REMEMBERED)
 
     def word(self, word: str) -> bytes:
         """ids of one word, packed as little-endian unsigned 32-bit integers.
 
         ``last[e]`` is the last token of the encoding of the first e letters.
         It is unique: of the tokens that end there, only one fits the last
-        token of the prefix before it.
+        token of the prefix before it. Most words need no table: see ``guess``.
         """
         data = word.encode("utf-8")
         n = len(data)
-        text = data[:-1].decode("latin-1") + chr(data[-1] + 256)
+        letters = data[:-1].decode("latin-1") + chr(data[-1] + 256)
+        guess = self.guess(letters, n)
+        if guess is not None:
+            return pack(guess)
         last, sizes = [-1] * (n + 1), [0] * (n + 1)
         known, fits = self.pairs.known.get, self.pairs
-        for end, (token, size) in self.matcher.iter(text):
+        for end, (token, size) in self.matcher.iter(letters):
             end += 1
             if last[end] < 0:
                 if size == end:
@@ -146,43 +167,81 @@ class Encoder:
         while at:
             ids.append(last[at])
             at -= sizes[at]
-        return np.array(ids[::-1], "<u4").tobytes()
+        ids.reverse()
+        return pack(ids)
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text. Texts with letters that tables may disagree on are split by the library."""
+    def guess(self, letters: str, n: int) -> list[int] | None:
+        """The longest tokens from left to right, if their pairs all fit: then they are the one encoding there is."""
+        ids, at, before = [], 0, -1
+        known, fits = self.pairs.known.get, self.pairs
+        for end, (token, size) in self.matcher.iter_long(letters):
+            if end + 1 - size != at:
+                return None
+            if before >= 0:
+                ok = known((before, token))
+                if not (fits(before, token) if ok is None else ok):
+                    return None
+            ids.append(token)
+            at, before = end + 1, token
+        return ids if at == n else None
+
+    def stretch(self, text: str) -> bytes:
+        """ids of a text without white space; no word reaches beyond one. Letters that tables may disagree on are left to the library's splitter."""
+        if not text.isascii() and not self.plain.fullmatch(text):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return b"".join(self.word(bytes(map(self.value.__getitem__, x)).decode("utf-8")) for x, _ in parts)
+        if text.isalpha():
+            return self.word(text)
+        words = self.split.findall(text)
+        return self.word(text) if len(words) == 1 else b"".join(map(self.held.__getitem__, words))
+
+    def normal(self, text: str) -> str:
+        """Lower case and composed, but for letters that tables may disagree on."""
         if text.isascii():
-            return self.split.findall(text.lower())
-        if self.plain.fullmatch(text):
-            return self.split.findall(unicodedata.normalize("NFC", text).lower())
-        if self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path)
-        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(self.value.__getitem__, x)).decode("utf-8") for x, _ in parts]
+            return text.lower()
+        return unicodedata.normalize("NFC", text).lower() if self.plain.fullmatch(text) else text
+
+    def part(self, text: str) -> bytes:
+        """ids of a text without added tokens."""
+        if text.isascii() or self.plain.fullmatch(text):
+            text = self.normal(text)
+            if _ODD.search(text):
+                return b"".join(map(self.held.__getitem__, self.split.findall(text)))
+            return b"".join(map(self.held.__getitem__, text.split()))
+        if _ODD.search(text):
+            return self.stretch(text)
+        return b"".join(map(self.held.__getitem__, map(self.normal, text.split())))
 
     def encode(self, text: str) -> bytes:
-        get = self.words.__getitem__
         if self.split_added and "<|" in text:
-            return b"".join(self.added[part] if part in self.added else b"".join(map(get, self.pieces(part))) for part in self.split_added.split(text))
-        return b"".join(map(get, self.pieces(text)))
+            return b"".join(self.added.get(part) or self.part(part) for part in self.split_added.split(text))
+        return self.part(text)
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces, as the library does for a file without decoder."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Words(dict):
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
+class _Held(dict):
+    """Results of ``f`` by text. When there are ``most``, they become the old ones, which are looked up once more before they go."""
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.word(word)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
+    def __init__(self, f, most: int) -> None:
+        super().__init__()
+        self.f, self.most, self.old = f, most, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.f(text)
+        if len(text) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[word] = ids
+            self[text] = ids
         return ids
 
 

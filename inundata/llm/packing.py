@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inundata.llm import common
+from inundata.llm.bpe import encoder
+from inundata.llm.bpe import pack as pack_ids
 from inundata.storage import Scratch
 
 #: Tokens of one sequence.
@@ -99,26 +99,13 @@ class Slots:
         return sequence + inside // n, offset + inside % n * length
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """One tokenizer for each worker process and file, on one thread as the task has one core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.no_truncation()
-    found.no_padding()
-    return found
-
-
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch_fast
+        e, tail = encoder(path), pack_ids([end])
         for rows, texts in common.chunks(batches, "text"):
             out: list[tuple] = []
-            done = encode([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            for doc_id, coded in zip(rows.column("doc_id").to_pylist(), done):
-                ids = np.array([*coded.ids, end], "<u4").tobytes()
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
+                ids = e.encode(text.decode("utf-8", "replace")) + tail
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
