@@ -20,7 +20,7 @@ _WHITE = b" \t\n\r\x0b\x0c"
 #: Keys that one shard holds on average, and bytes of shards that a worker keeps loaded.
 SHARD_KEYS, CACHE_BYTES = 200_000, 64_000_000
 #: Text that is probed at once, so that each shard is visited once for all of it.
-PROBE_BYTES = 16_000_000
+PROBE_BYTES = 4_000_000
 
 
 def line_key(line: bytes) -> bytes:
