@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import sys
 import unicodedata
@@ -247,8 +248,12 @@ class _Held(dict):
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(path)
+    """One encoder for each worker process and file; its tables are left out of garbage collection, which runs seldom."""
+    made = Encoder(path)
+    gc.collect()
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 100)
+    return made
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
