@@ -28,7 +28,7 @@ SYMBOL[list(ALPHABET)] = np.arange(1, len(ALPHABET) + 1)
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
-#: Documents whose words train the models, and made-up random strings of each alphabet.
+#: Documents whose words train the models, and made-up strings of each alphabet.
 TRAIN_DOCUMENTS, TRAIN_STRINGS = 2000, 2000
 #: Shortest run that the models judge.
 RUN_LEAST = 16
@@ -49,44 +49,52 @@ class Model:
     """Log-likelihood ratio of one character after another, and the mean ratio from which a run is random."""
 
     ratio: np.ndarray
-    threshold: float
+    threshold: float = 0.0
 
     def score(self, run: bytes) -> float:
         at = SYMBOL[np.frombuffer(run, np.uint8)]
         return float(self.ratio[np.concatenate(([0], at[:-1])), at].mean())
 
 
-def _bigrams(words: list[bytes]) -> np.ndarray:
+def _pairs(words: list[bytes]) -> np.ndarray:
+    """Counts of one symbol after another."""
     n = len(ALPHABET) + 1
     data = np.concatenate([np.concatenate(([0], SYMBOL[np.frombuffer(w, np.uint8)])) for w in words]) if words else np.zeros(1, np.int64)
     pairs = data[:-1] * n + data[1:]
-    counts = np.bincount(pairs[data[1:] > 0], minlength=n * n).reshape(n, n).astype(float)
-    counts += 0.1
+    return np.bincount(pairs[data[1:] > 0], minlength=n * n).reshape(n, n).astype(float)
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    counts = counts + 0.1
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 def train(texts: list[bytes], seed: int = 7) -> Model:
     """Models from labelled samples: words of the texts, and secrets in them with made-up random strings.
 
-    A run of the texts is labelled random if a fixed pattern finds it, else it is
-    an ordinary identifier. The threshold lies over the mean ratio of all but
-    one in ten thousand of the ordinary runs, and is 0 at least.
+    A run of the texts is labelled random if a fixed pattern finds it. What no
+    pattern finds may be a secret all the same, if it is long enough to be
+    judged: a first model, of shorter runs and made-up decimal numbers, tells
+    which of these runs are ordinary and train the second. The threshold is a
+    ratio of 0, where both are as likely; no unlabelled run moves it.
     """
-    ordinary, found = [], []
+    ordinary, open_, found = [], [], []
     for text in texts:
         data = np.frombuffer(text, np.uint8)
         spans = base_spans(text)
         for i, j in zip(*runs(data, SYMBOL > 0, 3)):
             inside = any(i < e and s < j for s, e, _ in spans)
-            (found if inside and j - i >= RUN_LEAST else ordinary if not inside else []).append(text[i:j])
+            if j - i >= RUN_LEAST:
+                (found if inside else open_).append(text[i:j])
+            elif not inside:
+                ordinary.append(text[i:j])
     rng = random.Random(seed)
     letters = ALPHABET.decode()
-    made = ["".join(rng.choices(a, k=rng.randint(RUN_LEAST, 48))).encode() for a in (letters[:62], letters[:64], letters[26:62], letters[:26] + letters[52:62], "0123456789abcdef") for _ in range(TRAIN_STRINGS)]
-    model = Model(_bigrams(found + made) - _bigrams(ordinary), 0.0)
-    scores = [model.score(w) for w in ordinary if len(w) >= RUN_LEAST]
-    if scores:
-        model.threshold = max(0.0, float(np.quantile(scores, 0.9999)))
-    return model
+    draw = lambda *alphabets: ["".join(rng.choices(a, k=rng.randint(RUN_LEAST, 48))).encode() for a in alphabets for _ in range(TRAIN_STRINGS)]
+    secret = _logs(_pairs(found + draw(letters[:62], letters[:64], letters[26:62], letters[:26] + letters[52:62], "0123456789abcdef")))
+    sure = _pairs(ordinary + draw("0123456789"))
+    first = Model(secret - _logs(sure))
+    return Model(secret - _logs(sure + _pairs([w for w in open_ if first.score(w) <= first.threshold])))
 
 
 def base_spans(text: bytes, data: np.ndarray | None = None) -> list[tuple[int, int, int]]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import random
 import re
 import zlib
 
@@ -301,6 +302,22 @@ def test_secret_spans(docs):
     assert "random:0:20" in got[26].spans and "random" not in got[13].spans
 
 
+@pytest.mark.parametrize("every", [1, 4, 50])
+def test_secrets_in_the_training_texts_hide_no_others(every):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    drawn = lambda a, n: "".join(rng.choices(a, k=n))
+    planted = {i: drawn(letters, 40) for i in range(0, 200, every)}
+    numbers = [drawn("0123456789", 16) for _ in range(200)]
+    texts = [" ".join([prose(60, 3000 + i), numbers[i] if i % 2 else "", planted.get(i, "")]).encode() for i in range(200)]
+    model = secret_scan.train(texts)
+    of = lambda t: [t[i:j].decode() for i, j, _ in secret_scan.scan(t, model)[1]]
+    assert [of(t) for t in texts] == [[planted[i]] if i in planted else [] for i in range(200)]
+    others = [drawn(a, n) for a, n in ((letters, 40), (letters[26:], 24), (letters[:26] + letters[52:], 24)) for _ in range(100)]
+    assert all(of(b"see " + w.encode() + b" here") == [w] for w in others)
+    assert not any(of(w.encode()) for w in numbers)
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     model = secret_scan.train([prose(500, 9).encode()])
     out = secret_scan.redact(docs.withColumn("n_chars", F.length("text").cast("long")), model)
