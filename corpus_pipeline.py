@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inundata.llm import queries
 from inundata.llm.exact_dedup import exact_duplicates
@@ -25,9 +26,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id. Rows that repeat a doc_id stay or go together."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of equal texts one row, of the largest doc_id, even if several rows repeat it."""
+    rows = Scratch(spark).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    kept = exact_duplicates(rows, row_id="_row").where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

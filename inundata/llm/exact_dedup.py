@@ -27,7 +27,8 @@ def _cut(block: int):
         seen: dict[bytes, int] = {}
         for rows, texts in common.chunks(batches, "text"):
             out: list[tuple] = []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
+            own = rows.column("row").to_pylist() if "row" in rows.schema.names else range(base + row, base + row + len(texts))
+            for me, doc_id, text in zip(own, rows.column("doc_id").to_pylist(), texts):
                 n = max(1, -(-len(text) // block))
                 for pos in range(n):
                     piece = text[pos * block : (pos + 1) * block]
@@ -40,8 +41,8 @@ def _cut(block: int):
                         sent = piece
                     else:
                         sent = None
-                    out.append((base + row, pos, known, sent, n, doc_id, hashlib.sha256(text).hexdigest() if pos == 0 else None))
-                row += 1
+                    out.append((me, pos, known, sent, n, doc_id, hashlib.sha256(text).hexdigest() if pos == 0 else None))
+            row += len(texts)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.string()]
             names = ["row", "pos", "slot", "block", "n", "doc_id", "sha"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -73,7 +74,7 @@ def _number(keys: list[str], carried: list[str]):
     return run
 
 
-def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block: int = BLOCK, row_id: str | None = None) -> DataFrame:
     """Groups of documents with identical texts, found without hashing.
 
     Texts are cut into blocks of ``block`` bytes. Sorting the distinct blocks
@@ -85,12 +86,14 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Returns doc_id, keep_id (largest doc_id of the group), group_size, kept,
     text_sha256. Null text equals the empty text. Of rows that repeat the
-    largest doc_id one is kept. A null doc_id is below all others. An empty
+    largest doc_id one is kept. ``row_id`` names a column of whole numbers, a
+    different one in each row, that is returned too, before the others. A null doc_id is below all others. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        cut = common.documents(docs).mapInArrow(_cut(block), "row long, pos int, slot long, block binary, n int, doc_id long, sha string")
+        rows = common.documents(docs) if row_id is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(row_id).cast("long").alias("row"))
+        cut = rows.mapInArrow(_cut(block), "row long, pos int, slot long, block binary, n int, doc_id long, sha string")
         cut = scratch.save(cut, "blocks")
         heads = scratch.keep(cut.where("pos = 0").select("row", "doc_id", "sha", "n"), "heads")
         sorted_blocks = cut.where("block is not null").select("slot", "block").repartition("block").sortWithinPartitions("block")
@@ -119,4 +122,5 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         # How a group is found again: by its length in blocks and its name.
         group = scratch.keep(identity.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(rank).getField("row").alias("keep_row")), "groups")
         out = identity.join(group, ["n", "name"])
-        return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+        found = [] if row_id is None else [F.col("row").alias(row_id)]
+        return out.select(*found, "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))

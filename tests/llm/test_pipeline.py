@@ -44,3 +44,11 @@ def test_run_packs_what_is_kept(spark, sf):
     for x in got:
         sums[x.sequence_id] += x.length
     assert max(sums.values()) <= 2048
+
+
+def test_one_row_of_each_text_stays(spark):
+    rows = [(1, "a"), (1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "b"), (None, "a"), (None, "n"), (None, "n"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.without_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter([(1, "a", "en"), (2, "c", "en"), (3, "b", "en"), (None, "n", "en"), (5, "", "en")])
