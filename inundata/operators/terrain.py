@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ def spill_tile(elev: np.ndarray, level: np.ndarray) -> np.ndarray:
     return flat.reshape(h, w)
 
 
-def fill_depressions(dem: DataFrame, grid: Grid, sigma: float = 1.5, tile: int = TILE, rounds: int = 1000) -> DataFrame:
+def fill_depressions(dem: DataFrame, grid: Grid, sigma: float = 1.5, tile: int = TILE, rounds: int | None = None) -> DataFrame:
     """(r, c, elev, spill, depth) over smoothed ground: spill is the level at which water leaves over the grid's edge.
 
     Each tile takes the levels of the cells around it and lowers its own as far
@@ -53,7 +54,8 @@ def fill_depressions(dem: DataFrame, grid: Grid, sigma: float = 1.5, tile: int =
     is the only one where each level is the higher of the ground and the lowest
     neighbouring level, as one priority queue over all cells would find. Cells
     without data are no way for water; cells that nothing reaches keep their
-    ground.
+    ground. Levels only fall, so the rounds end; with ``rounds`` given, it is an
+    error if they don't by then.
     """
     spark = dem.sparkSession
     smooth = gaussian(dem, grid, sigma).select("r", "c", F.col("v").alias("elev"))
@@ -76,7 +78,7 @@ def fill_depressions(dem: DataFrame, grid: Grid, sigma: float = 1.5, tile: int =
             return pd.DataFrame({"r": pdf["r"], "c": pdf["c"], "elev": pdf["elev"], "spill": np.where(np.isfinite(new), new, np.nan)})[own]
 
         ti, tj = F.expr(f"r div {tile}"), F.expr(f"c div {tile}")
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             shifts = F.array(*(F.struct(F.expr(f"(r + {i}) div {tile}").alias("i"), F.expr(f"(c + {j}) div {tile}").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
             spread = now.select("r", "c", "elev", "spill", F.explode(F.array_distinct(shifts)).alias("t")).select("r", "c", "elev", "spill", F.col("t.i").alias("_i"), F.col("t.j").alias("_j"))
             spread = spread.withColumn("own", (F.col("_i") == ti) & (F.col("_j") == tj))
@@ -90,6 +92,8 @@ def fill_depressions(dem: DataFrame, grid: Grid, sigma: float = 1.5, tile: int =
             same, now = total(nxt) == total(now), nxt
             if same:
                 break
+        else:
+            raise RuntimeError("levels did not settle")
         spill = F.when(F.col("elev").isNotNull(), F.coalesce("spill", "elev"))
         return now.select("r", "c", "elev", spill.alias("spill"), F.greatest(spill - F.col("elev"), F.lit(0.0)).alias("depth"))
 

@@ -145,6 +145,16 @@ def test_spill_matches_relaxation_over_tiles(spark, tile):
     assert np.array_equal(got, relaxed(e), equal_nan=True)
 
 
+def test_spill_that_has_not_settled_is_an_error(spark):
+    e = np.full((12, 12), 9.0)  # a channel over many tile borders
+    e[1, :11], e[2:11, 10], e[10, 1:11] = 1, 1, 1
+    df, grid = cells(spark, e)
+    with pytest.raises(RuntimeError, match="settle"):
+        terrain.fill_depressions(df, grid, 0, tile=4, rounds=2)
+    got = array(terrain.fill_depressions(df, grid, 0, tile=4), grid, "spill")
+    assert np.array_equal(got, relaxed(e))
+
+
 def test_bowl_and_outlet(spark):
     bowl = np.full((5, 5), 10.0)
     bowl[1:4, 1:4] = 5
