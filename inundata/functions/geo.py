@@ -75,13 +75,17 @@ _BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 *
 _DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 
 
-def _zone(epsg: int) -> tuple[float, float]:
+def _zone(epsg: int | Column) -> tuple[float | Column, float | Column]:
+    if isinstance(epsg, Column):
+        known = epsg.between(32601, 32660) | epsg.between(32701, 32760)
+        code = F.when(known | epsg.isNull(), epsg).otherwise(F.raise_error(F.concat(F.lit("EPSG:"), epsg.cast("string"), F.lit(" is not a UTM zone"))).cast("int"))
+        return F.radians((code % 100) * 6 - 183), F.when(code >= 32700, 1e7).otherwise(0.0)
     if not (32601 <= epsg <= 32660 or 32701 <= epsg <= 32760):
         raise ValueError(f"EPSG:{epsg} is not a UTM zone")
     return math.radians((epsg % 100) * 6 - 183), 1e7 if epsg >= 32700 else 0.0
 
 
-def to_utm(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
+def to_utm(lon: Column, lat: Column, epsg: int | Column) -> tuple[Column, Column]:
     """Easting and northing by Krueger's series, to well under a millimetre within the zone."""
     mid, north = _zone(epsg)
     e = 2 * math.sqrt(_N) / (1 + _N)
@@ -95,7 +99,7 @@ def to_utm(lon: Column, lat: Column, epsg: int) -> tuple[Column, Column]:
     return 500_000 + _K0 * _R * x, north + _K0 * _R * y
 
 
-def from_utm(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+def from_utm(x: Column, y: Column, epsg: int | Column) -> tuple[Column, Column]:
     """Longitude and latitude of a UTM point."""
     mid, north = _zone(epsg)
     xi, eta = (y - north) / (_K0 * _R), (x - 500_000) / (_K0 * _R)
@@ -110,10 +114,11 @@ def from_utm(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     return F.degrees(F.atan2(F.sinh(v), F.cos(u)) + mid), F.degrees(lat)
 
 
-def reproject(points: DataFrame, source: int, target: int) -> DataFrame:
-    """Points (x, y) from one EPSG code to another: the same, WGS 84 (4326) or UTM."""
-    if source == target:
+def reproject(points: DataFrame, source: int | Column, target: int | Column) -> DataFrame:
+    """Points (x, y) from one EPSG code to another: the same, WGS 84 (4326) or UTM. A column gives each point its own UTM code."""
+    fixed = lambda code: None if isinstance(code, Column) else code
+    if source is target or fixed(source) is not None and fixed(source) == fixed(target):
         return points
-    lon, lat = (F.col("x"), F.col("y")) if source == 4326 else from_utm(F.col("x"), F.col("y"), source)
-    x, y = (lon, lat) if target == 4326 else to_utm(lon, lat, target)
+    lon, lat = (F.col("x"), F.col("y")) if fixed(source) == 4326 else from_utm(F.col("x"), F.col("y"), source)
+    x, y = (lon, lat) if fixed(target) == 4326 else to_utm(lon, lat, target)
     return points.withColumns({"x": x, "y": y})

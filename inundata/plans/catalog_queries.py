@@ -729,8 +729,10 @@ def _(spark, d):
 
 @query("utm_round_trip")
 def _(spark, d):
-    pts = fx.scenes(spark, d).where("ymin between -80 and 80 and xmin between -96 and -90").select("image_id", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
-    return rounded(geo.reproject(geo.reproject(pts, 4326, 32615), 32615, 4326), "x", "y")
+    pts = fx.scenes(spark, d).select("image_id", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    pts = pts.withColumn("code", F.substring(geo.utm_zone(F.col("y"), F.col("x")), 6, 5).cast("int"))
+    there = geo.reproject(pts, 4326, F.col("code"))
+    return rounded(geo.reproject(there, F.col("code"), 4326).drop("code"), "x", "y")
 
 
 # Whole stages -----------------------------------------------------------------------------------

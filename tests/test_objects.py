@@ -166,6 +166,26 @@ def test_zones_and_projections(spark):
         geo.area_of_interest(5)
 
 
+def test_points_in_their_own_zones(spark):
+    from inundata.plans import catalog_queries, fixtures
+
+    rows = [(-180.0, 10.0, 32601), (-93.0, 45.0, 32615), (-90.2, -20.0, 32715), (151.0, -33.5, 32756), (179.0, 83.0, 32660)]
+    pts = spark.createDataFrame(rows, "x double, y double, code int")
+    there = geo.reproject(pts, 4326, F.col("code"))
+    for x, y, code in rows:
+        one = geo.reproject(pts.where(F.col("code") == code), 4326, code).first()
+        got = there.where(F.col("code") == code).first()
+        assert (got.x, got.y) == pytest.approx((one.x, one.y), abs=1e-6)
+    back = {p.code: (p.x, p.y) for p in geo.reproject(there, F.col("code"), 4326).collect()}
+    assert all(back[code] == pytest.approx((x, y), abs=1e-8) for x, y, code in rows)
+    with pytest.raises(Exception, match="EPSG:4000 is not a UTM zone"):
+        geo.reproject(pts, 4326, F.col("code") * 0 + 4000).collect()
+    d = "/root/testdata/sf0.001"
+    want = {s.image_id: (s.xmin, s.ymin) for s in fixtures.scenes(spark, d).collect()}
+    every = catalog_queries.QUERIES["utm_round_trip"](spark, d).collect()
+    assert len(every) == fixtures.scenes(spark, d).count() and all((s.x, s.y) == pytest.approx(want[s.image_id], abs=1e-6) for s in every)
+
+
 def test_unknown_sensors_fail(spark):
     df = spark.createDataFrame([("S9", 1.0)], "s string, v double")
     with pytest.raises(Exception, match="unknown sensor"):
