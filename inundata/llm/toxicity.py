@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,56 +18,152 @@ from inundata.llm import common
 
 #: Labelled rows that training uses at most, of either class, and the longest text among them.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1500, 4000, 20_000
-#: Bytes of a window, and of the ordinary text that both dictionaries begin with.
-WINDOW, BASE_BYTES = 96, 110_000
-#: Shares of the toxic documents that a toxic segment must occur in; calibration picks one.
-SHARES = (0.01, 0.015, 0.02, 0.03, 0.05)
-#: A toxic segment is so many times as frequent in toxic documents as in ordinary ones.
-CONTRAST = 50
-
-_EDGES = b".,;:!?\"'()[]"
-_PARAMETERS = dict(window_log=18, hash_log=18, chain_log=18, strategy=zstd.STRATEGY_FAST, min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-
-def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
+#: Bytes of a window, of the dictionary of ordinary language, and of the two that are compared.
+WINDOW, BASE_BYTES, OWN_BYTES = 64, 110_000, 4096
+#: Letters in a row that the ordinary language either has or not; letters kept around those that it doesn't have, and least bytes of such a piece.
+GRAM, AROUND, PIECE = 6, 2, 9
+#: Rounds in which windows train the dictionaries anew, and how many times as often toxic texts must have windows of such a gain.
+ROUNDS, LIFT = 2, 4
+#: Parts of the training texts; each is scored by dictionaries of the others, which calibrates the scores.
+FOLDS = 3
+#: A window with this gain or more counts as a hit.
+HIT = 3
+#: Bytes of text that one step works on.
+STEP_BYTES = 1_000_000
+
+#: Stands before and behind each window and at the end of each dictionary, so that no window is stored uncompressed and its last letters are matched like the others.
+_FRAME = hashlib.shake_128(b"frame").digest(48)
+_BEFORE, _BEHIND = _FRAME[:32], _FRAME[32:]
+_PARAMETERS = dict(window_log=18, hash_log=17, chain_log=16, search_log=4, target_length=32, strategy=zstd.STRATEGY_LAZY2, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def windows(text: bytes, size: int = WINDOW) -> Iterator[bytes]:
     """The whole text in pieces of at most ``size`` bytes that end at a space where there is one."""
-    out, i, n = [], 0, len(text)
+    i, n = 0, len(text)
     while i < n:
         j = min(n, i + size)
         if j < n:
             k = text.rfind(b" ", i + 1, j)
             j = k + 1 if k > i else j
-        out.append(text[i:j])
+        yield text[i:j]
         i = j
-    return out
 
 
-def segments(text: bytes) -> set[bytes]:
-    return {w for x in text.split() if len(w := x.strip(_EDGES)) >= 4}
+def trained(pieces: list[bytes], size: int, k: int = 12) -> bytes:
+    """A zstandard dictionary trained on the pieces, of at most ``size`` bytes and a quarter of theirs."""
+    size = max(256, min(size, sum(map(len, pieces)) // 4))
+    try:
+        return zstd.train_dictionary(size, pieces, k=k, d=6).as_bytes()[-size:]
+    except zstd.ZstdError:  # too little text to train from
+        return b" ".join(pieces)[-size:]
 
 
-@lru_cache(maxsize=16)
 def compressor(dictionary: bytes) -> zstd.ZstdCompressor:
     parameters = zstd.ZstdCompressionParameters(**_PARAMETERS)
-    trained = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-    trained.precompute_compress(compression_params=parameters)
-    return zstd.ZstdCompressor(dict_data=trained, compression_params=parameters)
-
-
-def gains(text: bytes, ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """For each window how many bytes shorter the toxic dictionary makes it."""
-    a, b = compressor(ordinary).compress, compressor(toxic).compress
-    return np.array([len(a(w)) - len(b(w)) for w in windows(common.ascii_lower(text))], float)
-
-
-def features(text: bytes, ordinary: bytes, toxic: bytes) -> list[float]:
-    g = gains(text, ordinary, toxic)
-    if not len(g):
-        return [0.0] * 6
-    top = [*np.sort(g)[::-1][:3], 0.0, 0.0]
-    second = top[1] if len(g) > 1 else min(top[0], 0.0)
-    third = top[2] if len(g) > 2 else min(second, 0.0)
-    return [top[0], second, third, float(g.mean()), 10 * float((g >= 4).mean()), float(np.log(len(g)))]
+    content = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=parameters)
+    return zstd.ZstdCompressor(dict_data=content, compression_params=parameters)
+
+
+class Pair:
+    """Compressors with an ordinary and a toxic dictionary behind the same ordinary language."""
+
+    def __init__(self, base: bytes, ordinary: bytes, toxic: bytes) -> None:
+        n = min(len(ordinary), len(toxic))  # of one size, so that matches cost the same
+        self.a, self.b = compressor(base + ordinary[len(ordinary) - n :] + _FRAME), compressor(base + toxic[len(toxic) - n :] + _FRAME)
+
+    def gains(self, pieces: Iterator[bytes]) -> np.ndarray:
+        """For each window how many bytes shorter the toxic dictionary makes it."""
+        a, b = self.a.compress, self.b.compress
+        return np.fromiter((len(a(w)) - len(b(w)) for w in (_BEFORE + x + _BEHIND for x in pieces)), np.int16)
+
+    def features(self, text: bytes) -> list[float]:
+        """Of a lower-case text: the three highest gains, their mean, the share and number of hits, the number of windows."""
+        g = self.gains(windows(text))
+        if not len(g):
+            return [0.0] * 7
+        top = [float(x) for x in np.sort(g)[::-1][:3]]
+        while len(top) < 3:
+            top.append(min(top[-1], 0.0))
+        return [*top, float(g.mean()), 10 * float((g >= HIT).mean()), float(np.log(len(g))), float(np.log1p((g >= HIT).sum()))]
+
+
+@lru_cache(maxsize=2)
+def pair(base: bytes, ordinary: bytes, toxic: bytes) -> Pair:
+    return Pair(base, ordinary, toxic)
+
+
+def _grams(data: bytes) -> np.ndarray:
+    """A 24-bit number for each GRAM bytes in a row."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(x) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        out = (out << np.uint64(8)) | x[i : i + n]
+    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+
+
+class Language:
+    """The dictionary of ordinary language, and what other texts have beside it."""
+
+    def __init__(self, ordinary: list[bytes]) -> None:
+        self.base = trained([w for t in ordinary for w in windows(t, 200)], BASE_BYTES, 16)
+        self.known = np.zeros(1 << 24, bool)
+        self.known[_grams(self.base)] = True
+
+    def rest(self, texts: list[bytes]) -> list[bytes]:
+        """Pieces of the texts that the dictionary doesn't cover, with a few letters around them."""
+        out, some, size = [], [], 0
+        for k, t in enumerate(texts):
+            some.append(t)
+            size += len(t)
+            if size > STEP_BYTES or k == len(texts) - 1:
+                out += self._rest(b"\0".join(some))
+                some, size = [], 0
+        return out
+
+    def _rest(self, data: bytes) -> list[bytes]:
+        hits = np.flatnonzero(self.known[_grams(data)])
+        depth = np.bincount(hits, minlength=len(data) + 1) - np.bincount(hits + GRAM, minlength=len(data) + 1)
+        bare = (np.cumsum(depth[: len(data)]) == 0) & (np.frombuffer(data, np.uint8) != 0)
+        edge = np.diff(np.concatenate(([0], bare.astype(np.int8), [0])))
+        out = []
+        for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            more = max(AROUND, (PIECE - (j - i)) // 2)
+            out.append(data[max(0, i - more) : j + more].replace(b"\0", b" "))
+        return [x for x in out if len(x) >= 8]
+
+
+def learn(language: Language, toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """An ordinary and a toxic dictionary, each trained on texts of its own class.
+
+    Labels tell of texts, not of windows: most windows of a toxic text are
+    ordinary. So the texts are halved, and in each round the dictionaries of a
+    half judge the windows of the other. Of the toxic texts, windows with a gain
+    that ordinary ones seldom have train the next toxic dictionary; of the
+    ordinary texts, those that look toxic train the next ordinary one. What the
+    ordinary language covers is left out, as both compressors have it.
+    """
+    halves = [(toxic[h::2], ordinary[h::2]) for h in (0, 1)]
+    pieces = [[language.rest(texts) for texts in half] for half in halves]
+    for _ in range(ROUNDS):
+        chosen = []
+        for h in (0, 1):
+            judge = _trained_pair(language, *pieces[1 - h])
+            found = [[w for t in texts for w in windows(t)] for texts in halves[h]]
+            g, plain = (judge.gains(iter(x)) for x in found)
+            least = next((n for n in range(1, 30) if (g >= n).mean() >= LIFT * max((plain >= n).mean(), 1 / max(1, len(plain)))), None) if len(g) and len(plain) else None
+            if least is None:
+                least = int(np.quantile(g, 0.98)) if len(g) else 0
+            hard = language.rest([w for w, n in zip(found[1], plain) if n >= 2])
+            chosen.append([language.rest([w for w, n in zip(found[0], g) if n >= least]), hard if len(hard) >= 50 else hard + pieces[h][1]])
+        pieces = chosen
+    toxic_pieces, ordinary_pieces = (pieces[0][k] + pieces[1][k] for k in (0, 1))
+    return trained(ordinary_pieces, OWN_BYTES), trained(toxic_pieces, OWN_BYTES)
+
+
+def _trained_pair(language: Language, toxic: list[bytes], ordinary: list[bytes]) -> Pair:
+    return Pair(language.base, trained(ordinary, OWN_BYTES), trained(toxic, OWN_BYTES))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,8 +179,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarr
 
 @dataclass
 class Model:
-    """Two dictionaries and the calibration of their window gains; without dictionaries every score is ``prior``."""
+    """Dictionaries and the calibration of their window gains; without dictionaries every score is ``prior``."""
 
+    base: bytes = b""
     ordinary: bytes = b""
     toxic: bytes = b""
     mean: np.ndarray | None = None
@@ -95,7 +192,8 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None or not texts:
             return np.full(len(texts), self.prior)
-        x = np.array([features(t, self.ordinary, self.toxic) for t in texts])
+        own = pair(self.base, self.ordinary, self.toxic)
+        x = np.array([own.features(common.ascii_lower(t)) for t in texts])
         z = np.c_[np.ones(len(x)), (x - self.mean) / self.dev] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -103,47 +201,26 @@ class Model:
 def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model:
     """Dictionaries and thresholds from labelled texts.
 
-    Both dictionaries begin with the same trained ordinary text. The toxic one
-    ends with the segments of toxic texts that recur in them and are rare in
-    ordinary ones, the most frequent last; the ordinary one with as many bytes
-    of ordinary segments, so that matches before them cost the same. What share
-    of the toxic texts a segment must occur in, and how window gains become a
-    score, is calibrated on a part that the segments weren't taken from.
+    How window gains become a score is calibrated by a logistic fit on gains
+    that dictionaries of other texts give (FOLDS parts), and for the share of
+    toxic rows ``prior``. With fewer than 2 * FOLDS texts of a class there is
+    no model but the prior.
     """
-    if len(toxic) < 4 or len(ordinary) < 4:
+    if min(len(toxic), len(ordinary)) < 2 * FOLDS:
         return Model(prior=prior)
     toxic, ordinary = [common.ascii_lower(t) for t in toxic], [common.ascii_lower(t) for t in ordinary]
-    a, b = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
-    pieces = [w for t in ordinary[:b] for w in windows(t, 200)][:100_000]
-    size = max(1000, min(BASE_BYTES, sum(map(len, pieces)) // 20))
-    try:
-        base = zstd.train_dictionary(size, pieces, k=64, d=8).as_bytes()
-    except zstd.ZstdError:  # too little text to train from
-        base = b" ".join(pieces)[:size]
-    seen = Counter(w for t in toxic[:a] for w in segments(t))
-    plain = Counter(w for t in ordinary[:b] for w in segments(t))
-    filler = b" " + b" ".join(sorted((w for w in plain if plain[w] <= 3 and len(w) >= 6), key=lambda w: (zlib.crc32(w), w)))
-    test = toxic[a:] + ordinary[b:]
-    y = np.r_[np.ones(len(toxic) - a), np.zeros(len(ordinary) - b)]
-    best: tuple[float, Model] | None = None
-    for share in SHARES:
-        least = max(2, share * a)
-        own = sorted((w for w, n in seen.items() if n >= least and n * b >= CONTRAST * plain[w] * a), key=lambda w: (seen[w], w))
-        if not own:
-            continue
-        tail = b" " + b" ".join(own) + b" "
-        model = Model(base + filler[: len(tail)].ljust(len(tail)), base + tail, prior=prior)
-        x = np.array([features(t, model.ordinary, model.toxic) for t in test])
-        model.mean, model.dev, model.weights = logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-(np.c_[np.ones(len(x)), (x - model.mean) / model.dev] @ model.weights))), 1e-6, 1 - 1e-6)
-        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-        if best is None or loss < best[0]:
-            best = loss, model
-    if best is None:
-        return Model(prior=prior)
+    language = Language(ordinary)
+    x, y = [], []
+    for f in range(FOLDS):
+        others = [[t for i, t in enumerate(texts) if i % FOLDS != f] for texts in (toxic, ordinary)]
+        judge = Pair(language.base, *learn(language, *others))
+        for texts, label in ((toxic, 1.0), (ordinary, 0.0)):
+            x += [judge.features(t) for t in texts[f::FOLDS]]
+            y += [label] * len(texts[f::FOLDS])
+    mean, dev, weights = logistic(np.array(x), np.array(y))
     odds = lambda p: np.log(max(p, 1e-4) / max(1 - p, 1e-4))
-    best[1].weights[0] += odds(prior) - odds(float(y.mean()))
-    return best[1]
+    weights[0] += odds(prior) - odds(float(np.mean(y)))
+    return Model(language.base, *learn(language, toxic, ordinary), mean, dev, weights, prior)
 
 
 def fold(doc_id: str = "doc_id") -> F.Column:
@@ -151,16 +228,20 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, ordinary: int = TRAIN_ORDINARY) -> Model:
-    """Model from at most ``toxic`` + ``ordinary`` labelled rows that aren't held out, picked by the hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, ordinary: int = TRAIN_ORDINARY, chars: int = TRAIN_CHARS) -> Model:
+    """Model from at most ``toxic`` + ``ordinary`` labelled rows of at most ``chars`` characters that aren't held out.
+
+    The rows are picked by the hash of their id and, where rows repeat an id,
+    of their text, so that neither order nor partitioning matters.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(fold() != 0)
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    texts = common.documents(docs).where(F.length("text") <= TRAIN_CHARS)
+    texts = common.documents(docs).where(F.length("text") <= chars)
     rows: dict[int, list[bytes]] = {}
     for y, limit in ((1, toxic), (0, ordinary)):
         ids = known.where(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        got = texts.join(F.broadcast(ids), "doc_id").limit(limit).collect()  # at most limit rows
-        rows[y] = [r["text"].encode() for r in sorted(got, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))]
+        got = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(limit).collect()  # at most limit rows
+        rows[y] = [r["text"].encode() for r in got]
     total = sum(counts.values())
     return train(rows[1], rows[0], counts.get(1, 0) / total if total else 0.0)
 
@@ -173,7 +254,9 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     Only the text enters it. No shuffle but for the bounded training sample.
     Null text is empty and has the score of no windows; a null doc_id is held
     out of nothing (held_out false). Without both labels all scores are the
-    share of label 1. Every input row gives one row; an empty table none.
+    share of label 1. Every input row gives one row; equal texts have equal
+    scores; an empty table gives none. A long text is read window by window:
+    beside it there are two bytes for each window.
     """
     model = model or fit(docs, labels)
 
@@ -185,7 +268,11 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores under 0.5."""
+    """The rows of ``docs``, all columns as they are, whose text scores under 0.5.
+
+    Null text counts as empty; repeated rows stay or go together; an empty
+    table gives an empty one.
+    """
     model = model or fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
