@@ -18,9 +18,11 @@ from inundata.storage import Scratch
 
 _WHITE = b" \t\n\r\x0b\x0c"
 #: Keys that one shard holds on average, and bytes of shards that a worker keeps loaded.
-SHARD_KEYS, CACHE_BYTES = 200_000, 64_000_000
+SHARD_KEYS, CACHE_BYTES = 400_000, 96_000_000
 #: Text that is probed at once, so that each shard is visited once for all of it.
 PROBE_BYTES = 4_000_000
+#: Most documents that the count array tells apart.
+MOST = (1 << 16) - 1
 
 
 def line_key(line: bytes) -> bytes:
@@ -36,59 +38,81 @@ class PerfectHash:
 
     At each level a key takes the slot of its hash; keys alone in their slot
     stay there, the others go on. A key's index is the number of taken slots
-    before its own over all levels.
+    before its own over all levels: a rank for each word of 64 slots, and the
+    bits before the slot in its word.
     """
 
-    def __init__(self, bits: list[np.ndarray]) -> None:
-        self.bits = bits
-        self.ranks = []
-        before = 0
-        for b in bits:
-            r = np.cumsum(b, dtype=np.int64) - b + before
-            before += int(b.sum())
-            self.ranks.append(r)
+    def __init__(self, sizes: np.ndarray, words: np.ndarray) -> None:
+        self.sizes, self.words = sizes, words
+        taken = np.bitwise_count(words).astype(np.uint32)
+        self.ranks = np.cumsum(taken, dtype=np.uint32) - taken
+        self.first = np.concatenate(([0], np.cumsum(-(-sizes // 64))))
 
     @staticmethod
     def slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (common.mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
+        return common.mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)
 
     @classmethod
     def build(cls, keys: np.ndarray, load: float = 2.0) -> PerfectHash:
-        left, bits = np.unique(keys), []
+        left, sizes, words = np.unique(keys), [], []
         while len(left):
-            size = max(8, int(len(left) * load))
-            at = cls.slot(left, len(bits), size)
-            n = np.bincount(at, minlength=size)
-            bits.append((n == 1).astype(np.uint8))
+            size = max(64, int(len(left) * load))
+            at = cls.slot(left, len(sizes), size).astype(np.int64)
+            n = np.bincount(at, minlength=-(-size // 64) * 64)
+            sizes.append(size)
+            words.append(np.packbits(n == 1, bitorder="little").view("<u8"))
             left = left[n[at] != 1]
-        return cls(bits)
+        return cls(np.array(sizes, np.int64), np.concatenate(words) if words else np.empty(0, np.uint64))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key; -1 for some that weren't built in, any index for others."""
         out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, (b, r) in enumerate(zip(self.bits, self.ranks)):
-            at = self.slot(keys[left], level, len(b))
-            hit = b[at] == 1
-            out[left[hit]] = r[at[hit]]
+        for level, size in enumerate(self.sizes.tolist()):
+            at = self.slot(keys[left], level, size)
+            word, bit = (at >> np.uint64(6)).astype(np.int64) + self.first[level], at & np.uint64(63)
+            bits = self.words[word] >> bit
+            hit = (bits & np.uint64(1)) == 1
+            before = np.bitwise_count(self.words[word[hit]] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            out[left[hit]] = self.ranks[word[hit]] + before
             left = left[~hit]
         return out
 
 
-def pack_shard(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, last: np.ndarray) -> bytes:
-    """Bit arrays, fingerprints, counts and owners, each in the order of the hash."""
+class Shard:
+    """A perfect hash with the arrays that it indexes: fingerprints, document counts and, for counts of ``least`` or more, owners."""
+
+    def __init__(self, mph: PerfectHash, mark: np.ndarray, count: np.ndarray, last: np.ndarray, least: int) -> None:
+        self.mph, self.mark, self.count, self.last = mph, mark, count, last
+        self.often = np.flatnonzero(count >= least)
+        self.bytes = 2 * mph.words.nbytes + mark.nbytes + count.nbytes + last.nbytes + self.often.nbytes
+
+    def __call__(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each key (0 for keys that weren't built in) and owner of those that are frequent."""
+        at = self.mph(h1)
+        ok = at >= 0
+        ok[ok] = self.mark[at[ok]] == h2[ok].astype(np.uint32)
+        count, last = np.zeros(len(h1), np.uint16), np.zeros(len(h1), np.int64)
+        count[ok] = self.count[at[ok]]
+        nth = np.searchsorted(self.often, at)
+        found = np.flatnonzero(ok & (nth < len(self.often)))
+        found = found[self.often[nth[found]] == at[found]]
+        last[found] = self.last[nth[found]]
+        return count, last
+
+
+def pack_shard(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, last: np.ndarray, least: int) -> bytes:
+    """Words of the hash, fingerprints and counts in its order, and owners of the frequent keys."""
     mph = PerfectHash.build(h1)
-    at = mph(h1)
-    put = lambda x: x[np.argsort(at)]
+    order = np.argsort(mph(h1))
+    count = np.minimum(count, MOST).astype(np.uint16)[order]
     out = io.BytesIO()
-    np.savez(out, sizes=np.array([len(b) for b in mph.bits], np.int64), bits=np.packbits(np.concatenate(mph.bits)) if mph.bits else np.empty(0, np.uint8), mark=put(h2), count=put(np.minimum(count, (1 << 32) - 1).astype(np.uint32)), last=put(last))
+    np.savez(out, sizes=mph.sizes, words=mph.words, mark=h2.astype(np.uint32)[order], count=count, last=last[order][count >= least])
     return out.getvalue()
 
 
-def load_shard(data: bytes) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
+def load_shard(data: bytes, least: int) -> Shard:
     z = np.load(io.BytesIO(data))
-    sizes = z["sizes"]
-    flat = np.unpackbits(z["bits"])[: int(sizes.sum())]
-    return PerfectHash(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []), z["mark"], z["count"], z["last"]
+    return Shard(PerfectHash(z["sizes"], z["words"]), z["mark"], z["count"], z["last"], least)
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -98,37 +122,29 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 class Shards:
     """The shards of one index, loaded when probed; the least used ones go first."""
 
-    def __init__(self, root: str, n: int) -> None:
+    def __init__(self, root: str, n: int, least: int) -> None:
         self.fs, self.root = opened(root)
-        self.n, self.held, self.size = n, OrderedDict(), 0
+        self.n, self.least, self.held, self.size = n, least, OrderedDict(), 0
 
-    def get(self, k: int):
+    def get(self, k: int) -> Shard:
         if k in self.held:
             self.held.move_to_end(k)
-            return self.held[k][0]
+            return self.held[k]
         with self.fs.open_input_stream(f"{self.root}/{k:06d}.npz") as f:
-            data = f.read()
-        shard = load_shard(data)
-        cost = sum(9 * len(b) for b in shard[0].bits) + 20 * len(shard[1])
-        self.held[k], self.size = (shard, cost), self.size + cost
+            shard = load_shard(f.read(), self.least)
+        self.held[k], self.size = shard, self.size + shard.bytes
         while self.size > CACHE_BYTES and len(self.held) > 1:
-            self.size -= self.held.popitem(last=False)[1][1]
+            self.size -= self.held.popitem(last=False)[1].bytes
         return shard
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and owner of each key; count 0 for keys that the index doesn't hold."""
-        count, last = np.zeros(len(h1), np.uint32), np.zeros(len(h1), np.int64)
+        """Count and owner of each key, shard by shard; shards that are loaded come first."""
+        count, last = np.zeros(len(h1), np.uint16), np.zeros(len(h1), np.int64)
         shard_of = (h1 % np.uint64(self.n)).astype(np.int64)
         order = np.argsort(shard_of, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard_of[order])) + 1
-        for part in np.split(order, cuts):
-            if not len(part):
-                continue
-            mph, mark, counts, lasts = self.get(int(shard_of[part[0]]))
-            at = mph(h1[part])
-            ok = at >= 0
-            ok[ok] = mark[at[ok]] == h2[part[ok]]
-            count[part[ok]], last[part[ok]] = counts[at[ok]], lasts[at[ok]]
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(shard_of[order])) + 1) if len(p)]
+        for part in sorted(parts, key=lambda p: int(shard_of[p[0]]) not in self.held):
+            count[part], last[part] = self.get(int(shard_of[part[0]]))(h1[part], h2[part])
         return count, last
 
 
@@ -151,12 +167,12 @@ def _keys(min_chars: int):
     return f
 
 
-def _write_shards(root: str):
+def _write_shards(root: str, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(root)
         for k, rows in common.groups(batches, "shard"):
             col = lambda c: rows.column(c).to_numpy()
-            data = pack_shard(col("h1").view(np.uint64), col("h2").view(np.uint64), col("n"), col("last"))
+            data = pack_shard(col("h1").view(np.uint64), col("h2").view(np.uint64), col("n"), col("last"), least)
             temp = f"{base}/.{k:06d}-{np.random.default_rng().integers(1 << 60):x}"
             with fs.open_output_stream(temp) as f:
                 f.write(data)
@@ -168,7 +184,7 @@ def _write_shards(root: str):
 
 def _drop_lines(root: str, n: int, min_chars: int, min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(root, n) if n else None
+        shards = Shards(root, n, min_docs) if n else None
         for rows, texts in common.chunks(batches, "text", PROBE_BYTES):
             lines = [t.split(b"\n") for t in texts]
             spots, keys = [], []
@@ -197,37 +213,41 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     """Drops lines whose key stands in ``min_docs`` documents or more, but in the largest doc_id that has it.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower
-    case; shorter keys than ``min_chars`` code points always stay. The 128-bit
-    hashes of the lines are counted over all documents, with a partial count
-    before the shuffle. Those that are frequent enough go into shards by hash;
-    each shard is a minimal perfect hash with arrays of fingerprints, document
-    counts and owners, and is a file in the shared folder. Documents then probe
-    the arrays where they are read: no line is joined and no text shuffled. A
-    worker holds a bounded number of bytes of shards.
+    case; shorter keys than ``min_chars`` code points always stay. The distinct
+    128-bit hashes of all lines, with the documents that have them counted, go
+    into shards by hash. A shard is a minimal perfect hash with compact arrays:
+    4 bytes of fingerprint and 2 of count for each key, and the owners of keys
+    in ``min_docs`` documents or more. It is a file in the shared folder.
+    Documents then probe the arrays where they are read, and judge by the
+    counts: no line is joined and no text shuffled. A worker holds a bounded
+    number of bytes of shards; text is probed in large parts, sorted by shard.
 
     Returns doc_id, n_lines (before), n_dropped and kept_text. Null or empty
-    text is one empty line. Rows count as documents; all rows with the largest
-    doc_id keep the line, a null doc_id is below all others. An empty table
-    gives an empty result.
+    text is one empty line. Rows of one doc_id are one document, and all of
+    them keep the line if that doc_id is the largest; rows without doc_id count
+    as no document and lose such lines like others. ``min_docs`` is 65,535 at
+    most. One long text is probed at once and costs about four times its size.
+    An empty table gives an empty result.
     """
+    if not 1 <= min_docs <= MOST:
+        raise ValueError(f"min_docs is from 1 to {MOST}")
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         docs = common.documents(docs)
-        keys = common.map_text(docs, _keys(min_chars), "h1 long, h2 long, doc_id long", limit=4 * common.CHUNK_BYTES)
-        often = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.coalesce(F.max("doc_id"), F.lit(-(1 << 63))).alias("last")).where(F.col("n") >= min_docs)
-        often = scratch.save(often, "keys")
-        n = -(-often.count() // SHARD_KEYS)
+        keys = common.map_text(docs.where("doc_id is not null"), _keys(min_chars), "h1 long, h2 long, doc_id long", limit=4 * common.CHUNK_BYTES)
+        index = scratch.save(keys.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")), "keys")
+        n = -(-index.count() // SHARD_KEYS)
         root = scratch.path("shards", keep=True)
         if n:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(root)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
             shard = F.when(F.col("h1") >= 0, F.pmod("h1", F.lit(n))).otherwise(F.pmod(F.pmod("h1", F.lit(n)) + F.lit((1 << 64) % n), F.lit(n))).cast("long")
-            ready = often.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_write_shards(root), "shard long, keys long")
+            ready = index.withColumn("shard", shard).repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_write_shards(root, min_docs), "shard long, keys long")
             built = scratch.save(ready, "built").count()
             if built < n:  # probing needs a file for each shard, filled or not
                 fs, base = opened(root)
-                empty = pack_shard(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+                empty = pack_shard(*(np.empty(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64)), min_docs)
                 for k in range(n):
                     if fs.get_file_info(f"{base}/{k:06d}.npz").type == pafs.FileType.NotFound:
                         with fs.open_output_stream(f"{base}/{k:06d}.npz") as f:
