@@ -23,6 +23,11 @@ ARCHIVE_BYTES, READ_BYTES = 32_000_000, 1 << 16
 #: Payloads that are stored once if they repeat have as many bytes at least.
 REVISIT_LEAST = 1000
 
+#: Bytes of a record's header at most.
+HEADER_MOST = 1 << 20
+#: Tasks that read archives at most.
+READERS = 20_000
+
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,7 +53,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if refers_to is not None else http + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<{RECORD_ID}{'' if page_id is None else page_id}>",
+        "WARC-Record-ID": f"<{RECORD_ID}{';' + uuid.uuid4().hex if page_id is None else page_id}>",
         "WARC-Date": DATE,
         "Content-Type": "application/http; msgtype=response",
         "WARC-Payload-Digest": digest(hashlib.sha1(payload).digest()),
@@ -75,7 +80,7 @@ class Record:
 
 
 def page_of(text: str) -> int | None:
-    tail = text.strip("<>").removeprefix(RECORD_ID)
+    tail = text.strip("<>").removeprefix(RECORD_ID).partition(";")[0]
     return int(tail) if tail else None
 
 
@@ -84,68 +89,106 @@ def fields(head: bytes) -> dict[str, str]:
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if colon:
-            out[name.decode().strip().lower()] = value.decode("utf-8", "replace").strip()
+            out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     return out
 
 
-def members(stream, size: int = READ_BYTES) -> Iterator[Iterator[bytes]]:
-    """For each gzip member of a stream an iterator of its bytes, decompressed as they are read."""
-    rest = stream.read(size)
-
-    def body() -> Iterator[bytes]:
-        nonlocal rest
-        z = zlib.decompressobj(wbits=31)
-        while not z.eof:
-            if not rest:
-                rest = stream.read(size)
-                if not rest:
-                    raise ArchiveError("the archive ends within a record")
-            part = z.decompress(rest, size)
-            rest = z.unconsumed_tail if not z.eof else z.unused_data
+class Members:
+    """Reads a stream of gzip members in order, each decompressed as far as it is asked for."""
+
+    def __init__(self, stream, size: int = READ_BYTES) -> None:
+        self.stream, self.size, self.rest = stream, size, b""
+        self.z, self.held = None, b""
+
+    def next(self) -> bool:
+        """Opens the next member; false at the stream's end."""
+        self.rest = self.rest or self.stream.read(self.size)
+        self.z, self.held = zlib.decompressobj(wbits=31), b""
+        return bool(self.rest)
+
+    def more(self) -> bool:
+        """Decompresses a little more of the member; false at its end."""
+        while not self.z.eof:
+            self.rest = self.rest or self.stream.read(self.size)
+            if not self.rest:
+                raise ArchiveError("the archive ends within a record")
+            try:
+                part = self.z.decompress(self.rest, self.size)
+            except zlib.error as e:
+                raise ArchiveError(f"a record isn't a sound gzip member: {e}") from None
+            self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
             if part:
-                yield part
-
-    while rest or (rest := stream.read(size)):
-        yield body()
-
-
-def read_record(body: Iterator[bytes]) -> Record:
-    """Frames one record by its Content-Length and verifies both digests."""
-    held = b""
-    while b"\r\n\r\n" not in held:
-        part = next(body, None)
-        if part is None:
-            raise ArchiveError("a record's header has no end")
-        held += part
-    head, _, held = held.partition(b"\r\n\r\n")
+                self.held += part
+                return True
+        return False
+
+    def until(self, mark: bytes, most: int) -> bytes:
+        """Bytes up to the mark, which is passed over; there are ``most`` at most."""
+        at = 0
+        while (found := self.held.find(mark, max(0, at - len(mark)))) < 0:
+            at = len(self.held)
+            if at > most or not self.more():
+                raise ArchiveError("a record's header has no end")
+        out, self.held = self.held[:found], self.held[found + len(mark) :]
+        return out
+
+    def exactly(self, n: int) -> bytes:
+        """The next n bytes, and none beyond them but what the last step gave."""
+        parts, got = [self.held[:n]], min(n, len(self.held))
+        self.held = self.held[n:]
+        while got < n:
+            if not self.more():
+                raise ArchiveError("a record is shorter than its header says")
+            parts.append(self.held[: n - got])
+            self.held = self.held[n - got :]
+            got += len(parts[-1])
+        return b"".join(parts)
+
+    def end(self) -> None:
+        if self.held or self.more():
+            raise ArchiveError("a record is longer than its header says")
+
+
+def read_record(m: Members) -> Record:
+    """Frames the open member's record by its Content-Length and verifies lengths and digests."""
+    head = m.until(b"\r\n\r\n", HEADER_MOST)
     if not head.startswith(b"WARC/"):
         raise ArchiveError("a member doesn't begin with a record")
     headers = fields(head)
-    length = int(headers["content-length"])
-    parts, got = [], 0
-    while True:
-        parts.append(held)
-        got += len(held)
-        held = next(body, None)
-        if held is None:
-            break
-    whole = b"".join(parts)
-    if got != length + 4 or whole[length:] != b"\r\n\r\n":
+    for name in ("content-length", "warc-type", "warc-record-id", "warc-block-digest", "warc-payload-digest"):
+        if name not in headers:
+            raise ArchiveError(f"a record has no {name}")
+    if not headers["content-length"].isdecimal():
+        raise ArchiveError("a record's length is no number")
+    block = m.exactly(int(headers["content-length"]))
+    if m.exactly(4) != b"\r\n\r\n":
         raise ArchiveError("a record's length isn't as its header says")
-    block = whole[:length]
+    m.end()
     if digest(hashlib.sha1(block).digest()) != headers["warc-block-digest"]:
         raise ArchiveError("a block's digest isn't as its header says")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    if headers["warc-type"] == "response" and digest(hashlib.sha1(payload).digest()) != headers["warc-payload-digest"]:
-        raise ArchiveError("a payload's digest isn't as its header says")
-    return Record(headers, fields(http), payload)
+    http, mark, payload = block.partition(b"\r\n\r\n")
+    r = Record(headers, fields(http), payload)
+    length = r.http.get("content-length", "")
+    if not mark or not length.isdecimal():
+        raise ArchiveError("a block has no HTTP header with a length")
+    if headers["warc-type"] == "response":
+        if len(payload) != int(length):
+            raise ArchiveError("a payload's length isn't as its header says")
+        if digest(hashlib.sha1(payload).digest()) != headers["warc-payload-digest"]:
+            raise ArchiveError("a payload's digest isn't as its header says")
+    elif headers["warc-type"] != "revisit" or payload or "warc-refers-to" not in headers:
+        raise ArchiveError("a record is neither a response nor a revisit of one")
+    try:
+        r.page_id, undigest(headers["warc-payload-digest"]), page_of(headers.get("warc-refers-to", ""))
+    except ValueError:
+        raise ArchiveError("a record's name or digest can't be read") from None
+    return r
 
 
 def read_archive(stream) -> Iterator[Record]:
-    for body in members(stream):
-        yield read_record(body)
-        for _ in body:
-            pass
+    m = Members(stream)
+    while m.next():
+        yield read_record(m)
 
 
 def _write(root: str):
@@ -203,19 +246,22 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
 
 
-def write_archives(pages: DataFrame, root: str, least: int = REVISIT_LEAST) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, scratch: Scratch, least: int = REVISIT_LEAST) -> DataFrame:
     """Writes a record for each page below ``root`` and returns path, records and bytes of each archive.
 
     Of pages with equal payloads of ``least`` bytes or more, all but the one with
     the largest page_id are revisits of it. Null html is an empty payload.
     Rows that repeat that page_id are all responses; a row without page_id has
-    a record without one, and never is what others revisit.
+    a record without one, named at random, and never is what others
+    revisit. A table without ``url`` has records without a target.
     """
     spark = pages.sparkSession
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), url, F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"n": F.octet_length("html"), "sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "sum": F.xxhash64("html")})
     same = ["n", "sha", "sum"]
     owner = p.where(F.col("n") >= least).groupBy(same).agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1 and owner is not null").drop("copies")
+    owner = scratch.keep(owner, "owner")  # so that the join has shuffles of its own, whose hot payloads adaptive execution splits
     rows = p.join(owner, same, "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to"))
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(root)
@@ -226,13 +272,16 @@ def write_archives(pages: DataFrame, root: str, least: int = REVISIT_LEAST) -> D
 def read_archives(spark: SparkSession, archives: DataFrame, root: str, payloads: bool = True) -> DataFrame:
     """The records of the archives that ``archives`` lists by path, with verified lengths and digests.
 
-    Each task reads its archives from the start, member by member, and holds
-    one record at a time. Broken archives raise ArchiveError. Columns: page_id,
+    ``archives`` is a saved table. Each task reads its archives from the start,
+    member by member, no further than a record's Content-Length, and holds one
+    record at a time. Whatever breaks the format, a length or a digest raises
+    ArchiveError. Columns: page_id,
     url, payload_bytes and payload_digest (of the full payload, for revisits
     too), record_type, refers_to, payload (null for revisits or if not wanted).
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return archives.select("path").repartition("path").mapInArrow(_read(root, payloads), schema)
+    tasks = max(1, min(READERS, archives.count()))  # a number, as adaptive execution would join tasks by the few bytes of their paths
+    return archives.select("path").repartition(tasks, "path").mapInArrow(_read(root, payloads), schema)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -240,5 +289,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     with Scratch(spark) as scratch:
         root = scratch.path("warc", keep=True)
-        archives = scratch.keep(write_archives(pages, root), "archives")
+        archives = scratch.keep(write_archives(pages, root, scratch), "archives")
         return read_archives(spark, archives, root, payloads=False).drop("payload", "url")
