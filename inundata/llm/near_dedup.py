@@ -81,27 +81,57 @@ class _Links:
         return i
 
 
+class Postings:
+    """The rows of one block, posted under their coordinate-value pairs."""
+
+    def __init__(self, sigs: np.ndarray) -> None:
+        self.sigs, (n, k) = sigs, sigs.shape
+        pairs = (np.arange(k, dtype=np.uint64) << np.uint64(32)) | sigs.view(np.uint32)
+        _, named, self.length = np.unique(pairs, return_inverse=True, return_counts=True)
+        self.named = named.reshape(n, k)
+        self.rows = np.argsort(named.ravel(), kind="stable") // k
+        self.start = np.cumsum(self.length) - self.length
+
+    def matches(self, i: int, wanted: np.ndarray, least: int) -> np.ndarray:
+        """Rows marked in ``wanted`` that collide with row i in ``least`` coordinates or more.
+
+        Such a row stands in one of any k - least + 1 lists of row i, so only
+        the shortest ones are merged. The others are skipped through: they are
+        looked up for rows alone that can still reach the threshold.
+        """
+        lists = self.named[i]
+        order = np.argsort(self.length[lists], kind="stable")
+        prefix = lists[order[: len(lists) - least + 1]]
+        prefix = prefix[self.length[prefix] > 1]
+        if not len(prefix):
+            return np.empty(0, np.int64)
+        hits = np.bincount(np.concatenate([self.rows[self.start[p] : self.start[p] + self.length[p]] for p in prefix]), minlength=len(wanted))
+        found = np.flatnonzero((hits > 0) & wanted)
+        hits, rest = hits[found], order[len(lists) - least + 1 :]
+        for at in range(0, len(rest), 16):
+            ok = hits + (len(rest) - at) >= least
+            found, hits = found[ok], hits[ok]
+            if not len(found):
+                break
+            step = rest[at : at + 16]
+            hits = hits + (self.sigs[np.ix_(found, step)] == self.sigs[i, step]).sum(axis=1)
+        return found[hits >= least]
+
+
 def block_links(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, sides: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
     """Spanning links among rows of side 0, or between sides 0 and 1 if there are both.
 
-    Coordinate collisions are counted for all pairs at once; pairs of fewer than
-    ``least`` are skipped, as are those of one component; the rest are held
-    against their full sets.
+    Collisions are counted from the postings. Pairs of fewer than ``least`` are
+    dropped, as are those of one component; the rest are held against their
+    full sets.
     """
-    a = np.flatnonzero(sides == 0)
-    b = np.flatnonzero(sides == 1)
-    if not len(b):
-        b = a
+    other = sides == 1
+    alone = not other.any()
     sizes = np.array([len(s) for s in sets], np.int64)
-    links, out = _Links(len(ids)), []
-    for i in a:
-        others = b[b > i] if b is a else b
-        small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-        others = others[(100 * small >= percent * large)]
-        if not len(others):
-            continue
-        hits = (sigs[others] == sigs[i]).sum(axis=1)
-        for j in others[hits >= least]:
+    postings, links, out = Postings(sigs), _Links(len(ids)), []
+    for i in np.flatnonzero(sides == 0):
+        wanted = (np.arange(len(ids)) > i if alone else other) & (100 * np.minimum(sizes[i], sizes) >= percent * np.maximum(sizes[i], sizes))
+        for j in postings.matches(int(i), wanted, least):
             x, y = links.root(int(i)), links.root(int(j))
             if x == y:
                 continue
@@ -125,15 +155,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
       pairs held by one class alone use up the prefix first.
     * Classes that share a prefix posting form a group. Groups are cut by set
       size and hash into blocks of bounded weight. Pairs of blocks count the
-      collisions of all k coordinates, skip what misses the threshold or is
-      connected already, and confirm the rest on the full sets.
+      collisions of all k coordinates by merging a document's shortest posting
+      lists and skipping through the others, drop what misses the threshold or
+      is connected already, and confirm the rest on the full sets.
 
-    T is the largest with a chance under ``miss`` of losing a pair at the limit.
+    T is the largest with a chance under ``miss`` of losing a pair at the limit,
+    for the posted and for all coordinates: the recall of a single link is
+    1 - 2 * ``miss`` at least, and more above the limit. With ``miss`` = 0 every
+    pair with any posted coordinate in common is confirmed on its full sets.
 
     Null or wordless texts have n_shingles 0 and their own doc_id as component.
     Repeated rows get equal results; rows of one doc_id with different texts
     share their component. A row without doc_id has no component and is kept.
-    An empty table gives an empty result.
+    A long text is hashed at once, at about 40 times its bytes. An empty table
+    gives an empty result.
     """
     spark, share = docs.sparkSession, percent / 100
     with Scratch(spark) as scratch:
@@ -142,13 +177,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
         reps = scratch.save(table.where("set_name is not null and doc_id is not null").groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
 
         postings = reps.select("rep", F.posexplode(F.slice("sig", 1, posted)).alias("coord", "value")).select("rep", (F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))).alias("token"))
-        shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        # Aggregates are saved before they are joined, so that adaptive execution can split the shuffles of a hot token.
+        shared = scratch.save(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
         kept = postings.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
         slots = F.lit(posted - match_threshold(posted, share, miss) + 1) - (F.lit(posted) - F.size("tokens"))
         prefix = kept.select("rep", F.explode(F.slice("tokens", 1, F.greatest(F.lit(0), F.least(slots, F.size("tokens"))).cast("int"))).alias("t")).select("rep", "t.token")
         prefix = scratch.save(prefix, "prefix")
 
-        heads = prefix.groupBy("token").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+        scratch.drop(shared)
+        heads = scratch.save(prefix.groupBy("token").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
         near = prefix.join(heads, "token").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
         member = components(near, scratch).select(F.col("node").alias("rep"), F.col("component").alias("g"))
         member = scratch.save(member.join(reps, "rep").withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / share))).cast("int")), "member")
