@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ SYMBOL[list(ALPHABET)] = np.arange(1, len(ALPHABET) + 1)
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
-#: Documents whose words train the models, and made-up strings of each alphabet.
-TRAIN_DOCUMENTS, TRAIN_STRINGS = 2000, 2000
+#: Documents whose words train the models, the longest text among them, and made-up strings of each alphabet.
+TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_STRINGS = 2000, 50_000, 2000
 #: Shortest run that the models judge.
 RUN_LEAST = 16
 
@@ -81,9 +83,9 @@ def train(texts: list[bytes], seed: int = 7) -> Model:
     ordinary, open_, found = [], [], []
     for text in texts:
         data = np.frombuffer(text, np.uint8)
-        spans = base_spans(text)
-        for i, j in zip(*runs(data, SYMBOL > 0, 3)):
-            inside = any(i < e and s < j for s, e, _ in spans)
+        touched = touching(base_spans(text))
+        for i, j in zip(*(x.tolist() for x in runs(data, SYMBOL > 0, 3))):
+            inside = touched(i, j)
             if j - i >= RUN_LEAST:
                 (found if inside else open_).append(text[i:j])
             elif not inside:
@@ -109,14 +111,25 @@ def base_spans(text: bytes, data: np.ndarray | None = None) -> list[tuple[int, i
     return sorted(out)
 
 
+def touching(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether any of the sorted spans overlaps a range."""
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+
+    def f(i: int, j: int) -> bool:
+        before = bisect_left(starts, j)
+        return before > 0 and ends[before - 1] > i
+
+    return f
+
+
 def scan(text: bytes, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, in bytes; the models add runs that no base span touches."""
     data = np.frombuffer(text, np.uint8)
-    base = base_spans(text, data)
-    more = []
-    for i, j in zip(*runs(data, SYMBOL > 0, RUN_LEAST)):
-        if not any(i < e and s < j for s, e, _ in base) and model.score(text[i:j]) > model.threshold:
-            more.append((int(i), int(j), 3))
+    base, more = base_spans(text, data), []
+    touched = touching(base)
+    for i, j in zip(*(x.tolist() for x in runs(data, SYMBOL > 0, RUN_LEAST))):
+        if not touched(i, j) and model.score(text[i:j]) > model.threshold:
+            more.append((i, j, 3))
     return base, sorted(base + more)
 
 
@@ -132,11 +145,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{i}:{j}" for i, j, k in spans)
 
 
-def fit(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Model:
-    """Model from the words of at most ``limit`` documents, picked by the hash of their id."""
+def fit(docs: DataFrame, limit: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS) -> Model:
+    """Model from the words of at most ``limit`` documents of at most ``chars`` characters.
+
+    They are picked by the hash of their id and, where rows repeat an id, of
+    their text, so that neither order nor partitioning matters.
+    """
     docs = common.documents(docs)
     ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.join(F.broadcast(ids), "doc_id").where(F.length("text") <= 50_000).select("text").limit(limit).collect()  # at most limit rows
+    some = docs.join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars)
+    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(limit).select("text").collect()  # at most limit rows
     return train(sorted(r["text"].encode() for r in rows))
 
 
@@ -147,8 +165,9 @@ def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     points, ``spans`` the same with the runs that look random to the models:
     maximal runs of identifier letters whose mean log-likelihood ratio between
     random strings and ordinary identifiers is over the threshold. No shuffle.
-    Null text is empty; every input row gives one row. An empty table gives an
-    empty result.
+    Null text is empty; every input row gives one row, equal texts equal ones.
+    A long text is scanned at once, at about 20 times its bytes. An empty table
+    gives an empty result.
     """
     model = model or fit(docs)
 

@@ -159,15 +159,28 @@ def test_substring_dedup(docs, window):
             assert x.n_removed == 0
 
 
+def test_texts_of_one_document_lose_their_own_words_alone(spark):
+    rows = [(1, PASSAGE), (2, "a b " + PASSAGE), (2, prose(90, 77)), (2, "a b " + PASSAGE), (3, prose(20, 78) + " " + prose(90, 77))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed) for x in got) == [(1, 70, 0), (2, 72, 70), (2, 72, 70), (2, 90, 0), (3, 110, 90)]
+
+
+def test_one_passage_with_many_neighbours(spark):
+    rows = [(i, prose(30, 500 + i) + " " + " ".join(PASSAGE.split()[: 50 + i % 15]) + " " + prose(30, 900 + i)) for i in range(60)]
+    want = repeats(rows, 50)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in got} == want
+
+
 def test_line_dedup(docs):
     white = " \t\n\r\x0b\x0c"
     rows = [(r.doc_id, (r.text or "").split("\n")) for r in docs.collect()]
     key = lambda s: plain(s.strip(white))
-    holders = collections.defaultdict(list)
-    for k, (i, lines) in enumerate(rows):
-        for s in {key(x) for x in lines}:
-            holders[s].append((i, k))
-    gone = lambda s, i: len(s) >= 20 and len(holders[s]) >= 3 and i != max((h for h, _ in holders[s] if h is not None), default=-1)
+    holders = collections.defaultdict(set)
+    for i, lines in rows:
+        for s in {key(x) for x in lines} if i is not None else ():
+            holders[s].add(i)
+    gone = lambda s, i: len(s) >= 20 and len(holders[s]) >= 3 and i != max(holders[s])
     want = collections.Counter((i, len(lines), sum(gone(key(x), i) for x in lines), "\n".join(x for x in lines if not gone(key(x), i))) for i, lines in rows)
     got = line_dedup.drop_repeated_lines(docs).collect()
     assert collections.Counter(map(tuple, got)) == want
@@ -177,9 +190,20 @@ def test_perfect_hash():
     keys = np.unique(RNG.integers(0, 1 << 63, 5000).astype(np.uint64))
     mph = line_dedup.PerfectHash.build(keys)
     assert sorted(mph(keys)) == list(range(len(keys)))
-    shard = line_dedup.load_shard(line_dedup.pack_shard(keys, keys * np.uint64(3), np.arange(len(keys)), np.arange(len(keys))))
-    at = shard[0](keys)
-    assert (shard[1][at] == keys * np.uint64(3)).all() and (shard[2][at] == np.arange(len(keys))).all()
+    n, marks = np.arange(len(keys)) % 7, keys * np.uint64(3)
+    shard = line_dedup.load_shard(line_dedup.pack_shard(keys, marks, n, np.arange(len(keys)), 3), 3)
+    count, last = shard(keys, marks)
+    assert (count == n).all() and (last == np.where(n >= 3, np.arange(len(keys)), 0)).all()
+    assert not shard(keys, marks + np.uint64(1))[0].any()
+
+
+def test_rows_of_one_document_count_once(spark):
+    line = "a line that stands in two documents only"
+    rows = [(1, line), (2, line), (2, line), (None, line), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.drop_repeated_lines(docs).agg(F.sum("n_dropped")).first()[0] == 0
+    got = line_dedup.drop_repeated_lines(docs.union(spark.createDataFrame([(4, line)], docs.schema))).collect()
+    assert sorted((x.doc_id or 0, x.n_dropped) for x in got) == [(0, 1), (1, 1), (2, 1), (2, 1), (3, 0), (4, 0)]
 
 
 @pytest.fixture(scope="module")
@@ -379,9 +403,39 @@ def test_broken_archives_are_found():
         list(warc.read_archive(io.BytesIO(both[: len(whole) // 2])))
     import gzip
 
-    for old, new in ((b"zzzz\r\n", b"zzzy\r\n"), (b"Content-Length: 5", b"Content-Length: 4")):
+    plain = gzip.decompress(whole)
+    for old, new in (
+        (b"zzzz\r\n", b"zzzy\r\n"), (b"Content-Length: 5", b"Content-Length: 4"), (b"Content-Length: 5", b"Content-Length: x5"), (b"Content-Length: 50", b"Length: 50"),
+        (b"\r\n\r\n", b"\r\n"), (b"WARC/", b"WORC/"), (b"WARC-Record-ID", b"X"), (b"urn:x-page:5", b"urn:x-page:five"), (b"WARC-Type: response", b"WARC-Type: revisit"),
+    ):
+        assert old in plain
         with pytest.raises(warc.ArchiveError):
-            list(warc.read_archive(io.BytesIO(gzip.compress(gzip.decompress(whole).replace(old, new)))))
+            list(warc.read_archive(io.BytesIO(gzip.compress(plain.replace(old, new)))))
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(io.BytesIO(both + b"garbage")))
+    for at in (0, 15, len(whole) // 2, len(whole) - 4):
+        flipped = bytearray(whole)
+        flipped[at] ^= 0x55
+        with pytest.raises(warc.ArchiveError):
+            list(warc.read_archive(io.BytesIO(flipped)))
+
+
+def test_a_member_is_read_no_further_than_its_length():
+    import gzip
+
+    bomb = gzip.compress(gzip.decompress(warc.record(1, None, b"a", None)) + bytes(50_000_000))
+    m = warc.Members(io.BytesIO(bomb))
+    assert m.next()
+    with pytest.raises(warc.ArchiveError, match="longer"):
+        warc.read_record(m)
+    assert len(m.held) <= 2 * warc.READ_BYTES
+
+
+def test_archives_are_read_by_as_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    pages = spark.createDataFrame([(i, f"page {i}") for i in range(6)], "page_id long, html string").repartition(2)
+    got = warc.archive_round_trip(pages)
+    assert got.count() == 6 and got.rdd.getNumPartitions() == 6
 
 
 def test_empty_tables(spark, empty):

@@ -52,3 +52,17 @@ def test_one_row_of_each_text_stays(spark):
     got = corpus_pipeline.without_copies(spark, docs, "")
     assert got.columns == docs.columns
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter([(1, "a", "en"), (2, "c", "en"), (3, "b", "en"), (None, "n", "en"), (5, "", "en")])
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)] * 3, [(1, "a b c d e f")] * 4 + [(None, "a b c d e f"), (2, "")]])
+def test_odd_tables_go_through(spark, tmp_path, rows):
+    kinds = "doc_id long, text string, score double, row int, n_shingles string"
+    docs = spark.createDataFrame([(*x, 0.5, 1, "s") for x in rows], kinds)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(x.doc_id for x in got) == collections.Counter({i for i, t in rows} if len(rows) < 6 else [1, 2])
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
