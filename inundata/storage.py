@@ -6,6 +6,7 @@ copies: a lost executor then costs a re-read, not a wrong or failed result.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one if unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one if unset, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder for {master}")
         found = "file://" + tempfile.mkdtemp(prefix="inundata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +42,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/inundata/{uuid.uuid4().hex}", 0
         self.drops: list[str] = []
+        self.saved: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -56,14 +61,16 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
         path = self.path(name, keep)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.saved[id(out)] = out, path
+        return out
 
     def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
         return self.save(df, name, keep=True)
 
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table before the block ends, to give its disk back."""
-        for path in list(self.drops):
-            if any(f.startswith(path) or path.split("://")[-1] in f for f in df.inputFiles()[:1]):
-                delete_path(self.spark, path)
-                self.drops.remove(path)
+        _, path = self.saved.pop(id(df), (None, None))
+        if path in self.drops:
+            delete_path(self.spark, path)
+            self.drops.remove(path)
