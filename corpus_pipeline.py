@@ -1,7 +1,9 @@
 """A corpus run over ``documents``: filters, deduplication, redaction and packing.
 
 Every stage takes all rows that the one before it kept and is written as
-Parquet into the shared folder before the next one reads it.
+Parquet into the shared folder before the next one reads it. All columns of
+``documents`` go through, whatever others there are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from inundata.storage import Scratch
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic."""
+    """Documents that don't score as toxic. Null text counts as empty; repeated rows stay or go together; without labels of both kinds all stay."""
     return drop_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
@@ -33,18 +35,18 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more the one with the smallest doc_id."""
+    """Of documents linked by a similarity of 0.8 or more the one with the smallest doc_id. Wordless and null texts and rows without doc_id stay."""
     dropped = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
+    """All documents, with every secret replaced by a mark. Null text stays null."""
     return redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all documents in training sequences; null or empty texts are an end id alone, repeated rows are packed each for itself."""
     return pack(docs, queries.vocabulary())
 
 
