@@ -104,8 +104,8 @@ def _pieces(path: str, end: int, capacity: int):
         e, tail = encoder(path), pack_ids([end])
         for rows, texts in common.chunks(batches, "text"):
             out: list[tuple] = []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
-                ids = e.encode(text.decode("utf-8", "replace")) + tail
+            for doc_id, ids in zip(rows.column("doc_id").to_pylist(), e.encode_all(texts)):
+                ids += tail
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
