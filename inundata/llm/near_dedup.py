@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
         classes = by_class.join(whole, "g", "left_semi").select("g", "cls", blocks(F.col("w"), F.col("m")).alias("nb"))
         around = classes.join(classes.select("g", (F.col("cls") - 1).alias("cls"), F.col("nb").alias("up")), ["g", "cls"], "left").join(classes.select("g", (F.col("cls") + 1).alias("cls"), F.col("nb").alias("down")), ["g", "cls"], "left")
 
+        around = scratch.save(around, "around")
         # A group of one block is one task key; else every pair of blocks of one class or of neighbouring ones is.
         placed = member.join(around, ["g", "cls"], "left").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         key = lambda *x: F.xxhash64("g", *x)
