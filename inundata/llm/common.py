@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
 CHUNK_BYTES = 2_000_000
+#: Bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -153,6 +155,15 @@ def map_text(df: DataFrame, f: Callable[[list[bytes], pa.RecordBatch], pa.Record
     return df.mapInArrow(run, schema)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the bytes of an Arrow batch for the session, where it has Spark's default: a task holds several copies of a batch of texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(conf.get(name)).rstrip("b") == str(64 << 20):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column can clash; null text is empty."""
+    small_batches(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -210,4 +210,4 @@ def redact(docs: DataFrame, model: Model | None = None, mark: str = "[secret]")
                 new["n_chars"] = pa.array([old if d is None or d == t else len(d.decode("utf-8", "replace")) for d, t, old in zip(done, texts, rows.column("n_chars").to_pylist())], kind)
             yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)

@@ -279,4 +279,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -
         for rows, texts in common.chunks(batches, "text"):
             yield rows.filter(pa.array(model.scores(texts) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)
