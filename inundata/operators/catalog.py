@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inundata.functions.geo import Box, area_of_interest, utm_code
+from inundata.storage import Scratch
 
 #: Terrain models that can be asked for by name.
 DEM_SETS = {
@@ -75,12 +76,24 @@ def day(ts: Column) -> Column:
 
 
 def as_table(results: dict[str, DataFrame], parts: int = 64) -> DataFrame:
-    """One table of all results by time, missing columns null, numbered from 0 as idx, with a date and without ts."""
+    """One table of all results by time, missing columns null, numbered from 0 as idx, with a date and without ts.
+
+    Sorted and numbered in ranges, ``parts`` of them.
+    """
     every = None
     for df in results.values():
         every = df if every is None else every.unionByName(df, allowMissingColumns=True)
     dated = every.withColumn("date", day(F.col("ts"))).withColumn("ts", F.coalesce("ts", F.lit(0)))
-    return dated.withColumn("idx", F.row_number().over(Window.orderBy("ts", "image_id")) - 1).drop("ts")  # a selection that a person looks through
+    spark = dated.sparkSession
+    ranged = Scratch(spark).keep(dated.repartitionByRange(parts, "ts", "image_id").withColumn("_part", F.spark_partition_id()), "results")
+    starts, before = [], 0
+    for r in sorted(ranged.groupBy("_part").count().collect()):  # a row for each range
+        starts.append((r["_part"], before))
+        before += r["count"]
+    first = spark.createDataFrame(starts or [(0, 0)], "_part int, _before long")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("ts", "image_id"))
+    numbered = ranged.withColumn("_nth", nth).join(F.broadcast(first), "_part")
+    return numbered.withColumn("idx", (F.col("_before") + F.col("_nth") - 1).cast("int")).drop("ts", "_part", "_nth", "_before")
 
 
 def pick(scenes: DataFrame, ids: DataFrame | list[str]) -> DataFrame:

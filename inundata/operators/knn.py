@@ -14,6 +14,8 @@ from inundata.storage import Scratch
 
 #: Points that are sent whole to every task; more are searched by buckets.
 SMALL = 50_000
+#: Cells on a side of the grid whose extents bound the way to far points.
+CELLS = 48
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, own: bool = False, small: int = SMALL) -> DataFrame:
@@ -23,7 +25,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, own: bool = False, small:
     ``small`` right points, counted first, go to the tasks as arrays. More are
     put into square buckets of a few points, and left points look at the
     buckets around their own; those whose k-th neighbour may lie further off go
-    on with buckets twice as wide. Every round shuffles only what is open.
+    on with buckets twice as wide. Every round shuffles only what is open. Left
+    points that lie far from all right ones are left over: for each of them
+    counts and extents of CELLS x CELLS cells tell which cells can hold a
+    neighbour. No more than these counts goes to the driver then.
     """
     n = right.count()
     if n <= small:
@@ -67,9 +72,8 @@ def _bucketed(left: DataFrame, right: DataFrame, k: int, own: bool, n: int) -> D
         around = F.sequence(F.lit(-1), F.lit(1))
         wide = todo if last else todo.select("id", "x", "y", (bucket("x", x0)).alias("i"), (bucket("y", y0)).alias("j")).withColumn("i", F.explode(F.transform(around, lambda s: F.col("i") + s))).withColumn("j", F.explode(F.transform(around, lambda s: F.col("j") + s)))
         spots = right.select("nid", F.col("x").alias("nx"), F.col("y").alias("ny"), bucket("x", x0).alias("i"), bucket("y", y0).alias("j"))
-        if last:  # what is left lies far from all points; it meets each of them in turn
-            far = _small(todo, right, k, own)
-            done.append(scratch.save(far, "far", keep=True))
+        if last:
+            done.append(scratch.save(_far(todo, right, k, own, (x0, x1, y0, y1)), "far", keep=True))
             break
         near = wide.join(spots, ["i", "j"]).where("nid <> id" if own else "true").withColumn("d2", F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nid"))).where(F.col("rank") <= k).select("id", "nid", "d2", "rank")
@@ -86,6 +90,38 @@ def _bucketed(left: DataFrame, right: DataFrame, k: int, own: bool, n: int) -> D
     return out.select("id", "nid", "d2", F.col("rank").cast("int").alias("rank"))
 
 
+def _far(left: DataFrame, right: DataFrame, k: int, own: bool, box: tuple[float, float, float, float]) -> DataFrame:
+    """The same for left points anywhere, by a grid of cells over the right ones.
+
+    The cells nearest by their far corners that together have k points give a
+    bound; a cell whose nearest corner lies beyond it has no neighbour.
+    """
+    x0, x1, y0, y1 = box
+    cell = lambda c, low, high: F.least(F.lit(CELLS - 1), F.floor((F.col(c) - low) / ((high - low) or 1.0) * CELLS)).cast("int")
+    spots = right.where("x is not null and y is not null").select("nid", F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x", x0, x1).alias("i"), cell("y", y0, y1).alias("j"))
+    rows = spots.groupBy("i", "j").agg(F.count("*"), F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny")).collect()  # CELLS * CELLS rows at most
+    i, j, n, ax, bx, ay, by = (np.array(c) for c in zip(*rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                x, y = (part.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("x", "y"))
+                least = np.maximum(0, np.maximum(ax - x, x - bx)) ** 2 + np.maximum(0, np.maximum(ay - y, y - by)) ** 2
+                most = np.maximum(np.abs(x - ax), np.abs(x - bx)) ** 2 + np.maximum(np.abs(y - ay), np.abs(y - by)) ** 2
+                order = np.argsort(most, axis=1)
+                enough = np.cumsum(n[order], axis=1) >= k + own
+                bound = np.where(enough.any(axis=1), np.take_along_axis(most, order, axis=1)[np.arange(len(part)), enough.argmax(axis=1)], np.inf)
+                who, where = np.nonzero(least <= bound[:, None] * (1 + 1e-9))
+                took = part.take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([*(took.column(c) for c in ("id", "x", "y")), pa.array(i[where].astype(np.int32)), pa.array(j[where].astype(np.int32))], ["id", "x", "y", "i", "j"])
+
+    points = left.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    near = points.mapInArrow(run, "id long, x double, y double, i int, j int").join(spots, ["i", "j"]).where("nid <> id" if own else "true")
+    near = near.withColumn("d2", F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nid"))).where(F.col("rank") <= k).select("id", "nid", "d2", "rank")
+
+
 def two_means(values: DataFrame, parts: int = 64) -> DataFrame:
     """One row (low, high, cut, n): the centres of the best split of column y in two, and the greatest y of the lower part.
 

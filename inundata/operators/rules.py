@@ -11,6 +11,10 @@ from inundata.operators import knn, objects as obj
 CENTROIDS = (("cent_col", "cent_row"), ("cent_x", "cent_y"), ("x", "y"))
 
 
+#: Columns of reference segments that can hold a place, the first pair present counts.
+PLACES = (("col", "row"), ("x", "y"))
+
+
 def centroid(df: DataFrame) -> tuple[str, str]:
     for pair in CENTROIDS:
         if all(c in df.columns for c in pair):
@@ -27,8 +31,6 @@ class ObjectRules:
 
     def __init__(self, objects: DataFrame, skipped: tuple[str, ...] = ()) -> None:
         self.df, self.skipped = objects, skipped
-        if not hasattr(self, "_started"):
-            self._started = True
 
     @classmethod
     def start(cls, objects: DataFrame) -> ObjectRules:
@@ -72,14 +74,18 @@ class ObjectRules:
         ``reference`` has segment_id, LWSE, delta_LWSE and col, row (or x, y).
         Bounds are the mean of delta_LWSE and two sample deviations, the upper
         one ``least`` or more. With one segment there is no deviation and no
-        object is flagged. Adds LWSE_local and delta_LWSE.
+        object is flagged. Adds LWSE_local and delta_LWSE. Skipped if objects or
+        segments lack a column.
         """
-        need = [c for c in ("LWSE",) if c not in self.df.columns]
-        if need:
+        if "LWSE" not in self.df.columns:
             return self._next(self.df, "levels: no LWSE")
+        place = next((x for x in PLACES if set(x) <= set(reference.columns)), None)
+        if place is None or not {"LWSE", "delta_LWSE"} <= set(reference.columns):
+            return self._next(self.df, "levels: the reference lacks columns")
+        if not any(set(x) <= set(self.df.columns) for x in CENTROIDS):
+            return self._next(self.df, "levels: no centroid")
         ref = reference.where("LWSE is not null")
-        cx, cy = ("col", "row") if {"col", "row"} <= set(ref.columns) else ("x", "y")
-        ox, oy = centroid(self.df)
+        (cx, cy), (ox, oy) = place, centroid(self.df)
         open_ = self.df.where("predict is null").select(F.col("ID").alias("id"), F.col(ox).alias("x"), F.col(oy).alias("y"))
         spots = ref.select(F.col("segment_id").alias("nid"), F.col(cx).alias("x"), F.col(cy).alias("y"), "LWSE")
         near = knn.nearest(open_, spots.drop("LWSE"), k).join(spots.select("nid", F.col("LWSE").alias("l")), "nid")
@@ -100,8 +106,9 @@ class ObjectRules:
 
         Distances, if there is no column ``distance``, run to the reference
         segments or else to the objects of code 1. The automatic threshold lies
-        between the clusters of log distances; with fewer than two open objects
-        all are near.
+        between the clusters of finite log distances; with fewer than two open
+        objects all are near. An infinite distance (there is no flood) is beyond
+        every threshold.
         """
         df = self.df if "distance" in self.df.columns else distance_to_flood(self.df, reference)
         y = F.log1p(F.col("distance"))
@@ -109,11 +116,13 @@ class ObjectRules:
         if threshold != "auto":
             t = F.lit(float(threshold))
             return self._next(df.withColumn("predict", F.when(open_ & (F.col("distance") > t), 6).when(open_, 7).otherwise(F.col("predict"))))
-        cut = knn.two_means(df.where(open_).select(y.alias("y")))
-        cut = _one_row(cut.select(F.expr("expm1((low + high) / 2)").alias("t"), F.col("n").alias("_n")))
+        infinite = F.col("distance") == float("inf")
+        cut = knn.two_means(df.where(open_ & ~infinite).select(y.alias("y")))
+        cut = _one_row(cut.select(F.expr("expm1((low + high) / 2)").alias("t")))
+        cut = cut.crossJoin(df.where(open_).agg(F.count("*").alias("_n")))  # one row each
         judged = df.crossJoin(F.broadcast(cut))  # one row
-        few = F.coalesce(F.col("_n"), F.lit(0)) < 2
-        code = F.when(F.col("predict").isNull() & few, 7).when(open_ & (F.col("distance") > F.col("t")), 6).when(open_, 7).otherwise(F.col("predict"))
+        few = F.col("_n") < 2
+        code = F.when(F.col("predict").isNull() & few, 7).when(open_ & (infinite | (F.col("distance") > F.col("t"))), 6).when(open_, 7).otherwise(F.col("predict"))
         return self._next(judged.withColumn("predict", code).drop("t", "_n"))
 
     def run(self, reference: DataFrame, threshold_px: int = 50, k: int = 5) -> ObjectRules:
@@ -136,14 +145,20 @@ def _one_row(df: DataFrame) -> DataFrame:
 
 
 def distance_to_flood(objects: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """Adds distance: from each centroid to the nearest reference segment, or else to the nearest object of code 1; null if there are none."""
+    """Adds distance: from each centroid to the nearest reference segment or, without one, to the nearest object of code 1.
+
+    Without those too, and for objects without centroid columns, it is infinite.
+    """
+    if not any(set(x) <= set(objects.columns) for x in CENTROIDS):
+        return objects.withColumn("distance", F.lit(float("inf")))
     ox, oy = centroid(objects)
     me = objects.select(F.col("ID").alias("id"), F.col(ox).alias("x"), F.col(oy).alias("y"))
-    if reference is not None:
-        cx, cy = ("col", "row") if {"col", "row"} <= set(reference.columns) else ("x", "y")
-        spots = reference.select(F.col("segment_id").alias("nid"), F.col(cx).alias("x"), F.col(cy).alias("y"))
-    else:
-        spots = objects.where("predict = 1").select(F.col("ID").alias("nid"), F.col(ox).alias("x"), F.col(oy).alias("y"))
+    spots = objects.where("predict = 1").select(F.col("ID").alias("nid"), F.col(ox).alias("x"), F.col(oy).alias("y"))
+    place = next((x for x in PLACES if reference is not None and set(x) <= set(reference.columns)), None)
+    if place is not None and reference.take(1):
+        spots = reference.select(F.col("segment_id").alias("nid"), F.col(place[0]).alias("x"), F.col(place[1]).alias("y"))
+    if not spots.take(1):
+        return objects.withColumn("distance", F.when(F.col(ox).isNotNull() & F.col(oy).isNotNull(), float("inf")))
     near = knn.nearest(me, spots, 1).select(F.col("id").alias("ID"), F.sqrt("d2").alias("distance"))
     return objects.drop("distance").join(near, "ID", "left")
 

@@ -102,10 +102,12 @@ def boundary_segments(labels: DataFrame, least: int = 100, points: int = 200, ho
         cells = votes.groupBy("object_id", "r", "c").agg(F.sum("me").alias("me"), F.count("*").alias("n")).where("me > 0 and n < 5").select("object_id", "r", "c")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, k = [], 0
+        rows, k, rings = [], 0, []
         for hole, way in outlines(pdf[["r", "c"]].to_numpy(), holes):
-            if not holes and _encloses_nothing_new(rows, way):
-                continue
+            if not holes:
+                if any(_inside(way[0], ring) for ring in rings):
+                    continue  # the border of a hole, or what lies in one
+                rings.append(np.array(way))
             if len(way) >= least_contour:
                 rows += [(k, hole, s, c, r) for s, (r, c) in enumerate(way)]
                 k += 1
@@ -118,12 +120,13 @@ def boundary_segments(labels: DataFrame, least: int = 100, points: int = 200, ho
     return position_in(ways, keys, ["contour_id", "seq"], points)
 
 
-def _encloses_nothing_new(rows: list[tuple], way: list[tuple[int, int]]) -> bool:
-    """Whether a border of border pixels lies inside the first one, so that it is a hole's."""
-    if not rows:
-        return False
-    rs, cs = [x[4] for x in rows if x[0] == 0], [x[3] for x in rows if x[0] == 0]
-    return min(rs) < min(r for r, _ in way) and max(rs) > max(r for r, _ in way) and min(cs) < min(c for _, c in way) and max(cs) > max(c for _, c in way)
+def _inside(point: tuple[int, int], ring: np.ndarray) -> bool:
+    """Whether a pixel that isn't on a closed outline lies within it: a ray to the left crosses it an odd number of times."""
+    (r, c), (r0, c0) = point, ring.T
+    r1, c1 = np.roll(r0, -1), np.roll(c0, -1)
+    spans = (r0 > r) != (r1 > r)
+    at = c0[spans] + (r - r0[spans]) * (c1[spans] - c0[spans]) / (r1[spans] - r0[spans])
+    return bool((at < c).sum() % 2)
 
 
 def sample_elevation(points: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:

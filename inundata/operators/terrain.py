@@ -85,11 +85,14 @@ def fill_depressions(dem: DataFrame, grid: Grid, sigma: float = 1.5, tile: int =
             nxt = spread.groupBy("_i", "_j").applyInPandas(step, "r int, c int, elev double, spill double").select("r", "c", F.nanvl("elev", F.lit(None).cast("double")).alias("elev"), F.nanvl("spill", F.lit(None).cast("double")).alias("spill"))
             nxt = scratch.save(nxt, "levels", keep=True)
             if single:
+                scratch.drop(now)
                 now = nxt
                 break
             border = f"r % {tile} in (0, {tile - 1}) or c % {tile} in (0, {tile - 1})"
             total = lambda df: df.where(border).agg(F.count("spill"), F.sum(F.xxhash64("r", "c", "spill").cast("decimal(38,0)"))).first()
-            same, now = total(nxt) == total(now), nxt
+            same = total(nxt) == total(now)
+            scratch.drop(now)
+            now = nxt
             if same:
                 break
         else:

@@ -595,6 +595,27 @@ def _(spark, d):
     return rounded(ObjectRules.start(fx.objects(spark, d)).distances(60, fx.reference(spark, d)).results().select("ID", "distance", "predict"), "distance")
 
 
+@query("rule3_skip", sql("objects", 'SELECT "ID", CASE WHEN area_px < 30 THEN 0 END AS predict FROM objects'))
+def _(spark, d):
+    judged = ObjectRules.start(fx.objects(spark, d)).small(30).levels(fx.reference(spark, d))  # the segments have no delta_LWSE
+    return judged.results().select("ID", "predict")
+
+
+@query("rule4_no_flood", sql("objects", 'SELECT "ID", TRUE AS beyond, 6 AS predict FROM objects'))
+def _(spark, d):
+    none = fx.reference(spark, d).where("segment_id is null")
+    return ObjectRules.start(fx.objects(spark, d)).distances(60, none).results().select("ID", (F.col("distance") == float("inf")).alias("beyond"), "predict")
+
+
+@query("rule4_centroids", sql("objects", """
+    SELECT "ID", round(least(x, y), 6) + 0e0 AS distance, CASE WHEN "ID" % 9 = 0 THEN 1 WHEN least(x, y) > 25 THEN 6 ELSE 7 END AS predict
+    FROM (SELECT a."ID", min(sqrt(pow(a.cent_col - b.cent_col, 2) + pow(a.cent_row - b.cent_row, 2))) AS x, 1e9 AS y FROM objects a, (SELECT * FROM objects WHERE "ID" % 9 = 0) b GROUP BY 1)"""))
+def _(spark, d):
+    none = fx.reference(spark, d).where("segment_id is null")  # distances run to the objects of code 1 then
+    some = fx.objects(spark, d).withColumn("predict", F.when(F.col("ID") % 9 == 0, 1))
+    return rounded(ObjectRules(some).distances(25, none).results().select("ID", "distance", "predict"), "distance")
+
+
 def _chain(spark, d) -> ObjectRules:
     return ObjectRules.start(fx.objects(spark, d)).run(_segments_ref(spark, d), 30)
 

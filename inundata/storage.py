@@ -69,8 +69,9 @@ class Scratch:
         return self.save(df, name, keep=True)
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a saved table before the block ends, to give its disk back."""
+        """Delete a saved or kept table before the block ends, to give its disk back."""
         _, path = self.saved.pop(id(df), (None, None))
-        if path in self.drops:
+        if path:
             delete_path(self.spark, path)
-            self.drops.remove(path)
+            if path in self.drops:
+                self.drops.remove(path)

@@ -261,3 +261,42 @@ def test_transfer_and_attributes(spark):
     assert got[1].LWSE == 2 and got[1].area_km2 == 2 and got[2].elev_mean is None
     with pytest.raises(ValueError):
         obj.object_attributes(old, Grid(3, 1), dem, "mode")
+
+
+def test_rules_without_their_inputs(spark):
+    rows = [(1, 5.0, 0.0, 0.0), (2, 6.0, 3.0, 4.0), (3, 7.0, None, None)]
+    objects = ObjectRules.start(spark.createDataFrame(rows, "ID long, LWSE double, cent_col double, cent_row double"))
+    reference = spark.createDataFrame([(1, 5.0, 1.0, 1.0)], "segment_id long, LWSE double, col double, row double")
+    skipped = objects.levels(reference)
+    assert skipped.skipped and {x.predict for x in skipped.results().collect()} == {None}
+    for threshold in (60, "auto"):
+        got = {x.ID: (x.distance, x.predict) for x in objects.distances(threshold, reference.where("false")).results().collect()}
+        assert got == {1: (float("inf"), 6), 2: (float("inf"), 6), 3: (None, None)}
+    flood = ObjectRules(objects.df.withColumn("predict", F.when(F.col("ID") == 1, 1)))
+    got = {x.ID: (x.distance, x.predict) for x in flood.distances(4, reference.where("false")).results().collect()}
+    assert got[2] == (5.0, 6) and got[1] == (0.0, 1)
+
+
+def test_island_in_a_bay_is_an_outline_and_a_hole_is_none(spark):
+    bay = {(r, c) for r in range(12) for c in range(12) if r in (0, 1, 2, 9, 10, 11) or c in (0, 1, 2)}
+    island = {(r, c) for r in (5, 6) for c in (5, 6, 7)}
+    ring = {(r, c) for r in range(20, 34) for c in range(14) if not (24 <= r < 29 and 4 <= c < 9)}
+    within = {(26, 6)}
+    rows = [(r, c, 1) for r, c in bay | island] + [(r, c, 2) for r, c in ring | within]
+    labels = spark.createDataFrame(rows, "r int, c int, object_id long")
+    got = segments.boundary_segments(labels, least=1)
+    found = {(x.object_id, x.contour_id) for x in got.collect()}
+    assert found == {(1, 0), (1, 1), (2, 0)}
+
+
+def test_far_points_never_bring_all_others_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    right = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((400, 2)) * 100)]
+    left = [(1000, -5000.0, 40.0), (1001, 50.0, 50.0), (1002, 9000.0, 9000.0), (1003, 50.0, -300.0)]
+    monkeypatch.setattr(knn, "_small", lambda *_: pytest.fail("all points were asked for"))
+    a = spark.createDataFrame(left, "id long, x double, y double")
+    b = spark.createDataFrame(right, "nid long, x double, y double")
+    got = knn.nearest(a, b, 3, small=50).collect()
+    for i, x, y in left:
+        want = sorted(((x - u) ** 2 + (y - v) ** 2, n) for n, u, v in right)[:3]
+        assert [(r.nid) for r in sorted((r for r in got if r.id == i), key=lambda r: r.rank)] == [n for _, n in want]
