@@ -82,10 +82,20 @@ def _(spark, d):
     return rounded(g.align(x.db, x.grid, Grid(16, x.grid.height // 4, 4.0, e=-4.0), "average"), "v")
 
 
-@query("resample_cubic")
-def _(spark, d):
-    x = Rasters(spark, d)
-    return g.align(x.dem, x.grid, Grid(42, x.grid.height * 2 // 3, 1.5, e=-1.5), "cubic")
+_CUBIC = "CASE WHEN abs({0}) <= 1 THEN 1.5e0 * pow(abs({0}), 3) - 2.5e0 * pow(abs({0}), 2) + 1 WHEN abs({0}) < 2 THEN -0.5e0 * pow(abs({0}), 3) + 2.5e0 * pow(abs({0}), 2) - 4 * abs({0}) + 2 ELSE 0e0 END"
+_LANCZOS = "CASE WHEN {0} = 0 THEN 1e0 WHEN abs({0}) < 3 THEN sin(pi() * ({0})) / (pi() * ({0})) * sin(pi() * ({0}) / 3) / (pi() * ({0}) / 3) ELSE 0e0 END"
+
+for _name, _weight, _reach in (("cubic", _CUBIC, 2), ("lanczos", _LANCZOS, 3)):
+
+    @query(f"resample_{_name}", sql("cell size dem", f"""
+        SELECT r, c, round(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) + 0e0 AS v FROM (
+            SELECT t.r, t.c, {_weight.format("(fr - floor(fr) - p.p)")} * {_weight.format("(fc - floor(fc) - q.q)")} AS w, dem.v
+            FROM (SELECT a.i::INT AS r, b.j::INT AS c, (a.i + 0.5e0) * 1.5e0 - 0.5e0 AS fr, (b.j + 0.5e0) * 1.5e0 - 0.5e0 AS fc FROM size, range(0, h * 2 // 3) a(i), range(0, 42) b(j)) t,
+                 range({1 - _reach}, {_reach + 1}) p(p), range({1 - _reach}, {_reach + 1}) q(q) LEFT JOIN dem ON dem.r = floor(fr) + p.p AND dem.c = floor(fc) + q.q
+        ) WHERE w <> 0 GROUP BY r, c"""))
+    def _(spark, d, name=_name):
+        x = Rasters(spark, d)
+        return rounded(g.align(x.dem, x.grid, Grid(42, x.grid.height * 2 // 3, 1.5, e=-1.5), name), "v")
 
 
 @query("occurrence_seed", sql("cell occ", "SELECT r, c, CASE WHEN v > 20 THEN 1 ELSE 0 END AS v FROM occ"))
@@ -241,7 +251,35 @@ def _(spark, d):
     return components.remove_small(x.mask, x.grid, 5)
 
 
-@query("fill_holes")
+def _regions(source: str, name: str, diagonal: bool = True, value: bool = False) -> dict[str, str]:
+    """The same as ``_labels`` for large regions: (id, l, n) for each cell, with the region's size.
+
+    Runs of cells in a row are labelled within bands of 24 rows, then the bands' labels are joined.
+    """
+    v, d = (", v" if value else ""), int(diagonal)
+    least = "SELECT n.y, min(p.l) FROM {0} p JOIN {1} n ON n.x = p.id JOIN recurring.{0} q ON q.id = n.y WHERE p.l < q.l GROUP BY n.y"
+    return {
+        f"{name}_r": f"SELECT r, min(c) AS c0, max(c) AS c1{v} FROM (SELECT r, c{v}, c - row_number() OVER (PARTITION BY r{v} ORDER BY c) AS k FROM {source}) GROUP BY r, k{v}",
+        f"{name}_d": f"SELECT a.r * 64 + a.c0 AS x, b.r * 64 + b.c0 AS y, a.r // 24 = b.r // 24 AS band FROM {name}_r a JOIN {name}_r b ON b.r = a.r + 1 AND a.c0 <= b.c1 + {d} AND b.c0 <= a.c1 + {d}" + " AND a.v = b.v" * value,
+        f"{name}_n": f"SELECT x, y FROM {name}_d WHERE band UNION ALL SELECT y, x FROM {name}_d WHERE band",
+        f"{name}_k(id, l) USING KEY (id)": f"SELECT r * 64 + c0, r * 64 + c0 FROM {name}_r UNION " + least.format(f"{name}_k", f"{name}_n"),
+        f"{name}_e": f"SELECT DISTINCT a.l AS x, b.l AS y FROM {name}_d JOIN {name}_k a ON a.id = x JOIN {name}_k b ON b.id = y WHERE NOT band",
+        f"{name}_m": f"SELECT x, y FROM {name}_e UNION ALL SELECT y, x FROM {name}_e",
+        f"{name}_b(id, l) USING KEY (id)": f"SELECT l, l FROM (SELECT DISTINCT l FROM {name}_k) UNION " + least.format(f"{name}_b", f"{name}_m"),
+        name: f"SELECT s.r * 64 + s.c AS id, s.r, s.c, j.l{v.replace('v', 's.v')}, count(*) OVER (PARTITION BY j.l) AS n FROM {source} s JOIN {name}_r a ON a.r = s.r AND s.c BETWEEN a.c0 AND a.c1{' AND a.v = s.v' * value} JOIN {name}_k k ON k.id = a.r * 64 + a.c0 JOIN {name}_b j ON j.id = k.l",
+    }
+
+
+def _cleaned(source: str, least_object: int, least_hole: int) -> dict[str, str]:
+    """Small regions of a dense 0/1 part removed, then its holes filled: ``full`` has (r, c, v)."""
+    return (
+        {"on_": f"SELECT * FROM {source} WHERE v = 1"} | _regions("on_", "big")
+        | {"kept": f"SELECT m.r, m.c, CASE WHEN big.n >= {least_object} THEN 1 ELSE 0 END AS v FROM {source} m LEFT JOIN big ON big.id = m.r * 64 + m.c", "off": "SELECT * FROM kept WHERE v = 0"} | _regions("off", "gap")
+        | {"full": f"SELECT m.r, m.c, CASE WHEN gap.n >= {least_hole} THEN 0 ELSE 1 END AS v FROM kept m LEFT JOIN gap ON gap.id = m.r * 64 + m.c"}
+    )
+
+
+@query("fill_holes", sql("cell db mask", "SELECT m.r, m.c, CASE WHEN n >= 6 THEN 0 ELSE 1 END AS v FROM mask m LEFT JOIN gap ON gap.id = m.r * 64 + m.c", {"off": "SELECT * FROM mask WHERE v = 0"} | _regions("off", "gap"), True))
 def _(spark, d):
     x = Rasters(spark, d)
     return components.fill_holes(x.mask, x.grid, 6)
@@ -255,19 +293,21 @@ def _(spark, d):
     return components.region_grow(x.db, g.seed(x.occurrence), x.grid, -16)
 
 
-@query("post_process")
+@query("post_process", sql("cell db mask", "SELECT r, c, v FROM full", _morph("mask", "deed") | _cleaned("morph", 20, 30), True).replace("FROM full", 'FROM "full"').replace("full AS", '"full" AS'))
 def _(spark, d):
     x = Rasters(spark, d)
     return components.post_process(x.mask, x.grid, 20, 30)
 
 
-@query("flood_objects")
+@query("flood_objects", sql("cell db mask", "SELECT r, c, dense_rank() OVER (ORDER BY l) AS object_id FROM obj_", _morph("mask", "de") | {"clear": "SELECT m.r, m.c, CASE WHEN m.v = 1 AND db.v IS NOT NULL THEN 1 ELSE 0 END AS v FROM morph m JOIN db USING (r, c)"}
+    | _cleaned("clear", 4, 12) | {"wet": 'SELECT f.r, f.c FROM "full" f JOIN db USING (r, c) WHERE f.v = 1 AND db.v IS NOT NULL'} | _regions("wet", "obj_"), True).replace("full AS", '"full" AS'))
 def _(spark, d):
     x = Rasters(spark, d)
     return components.flood_objects(x.db.withColumn("v", F.when(F.col("v").isNotNull(), (F.col("v") < -16).cast("int"))), x.grid, 4, 12, "de")
 
 
-@query("polygonize_regions")
+@query("polygonize_regions", sql("cell", "SELECT l::BIGINT AS region_id, v AS value, count(*) AS area_px, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM reg GROUP BY l, v",
+    {"cls": "SELECT r, c, CASE WHEN v < -0.1e0 THEN 0e0 WHEN v < 0.1e0 THEN 1e0 ELSE 2e0 END AS v FROM cell"} | _regions("cls", "reg", False, True), True))
 def _(spark, d):
     x = Rasters(spark, d)
     return components.polygon_regions(x.made("case when v < -0.1e0 then 0e0 when v < 0.1e0 then 1e0 else 2e0 end"), x.grid)
@@ -396,13 +436,24 @@ FLAGSHIP = flagship
 # Terrain ----------------------------------------------------------------------------------------
 
 
-@query("spill_fill")
+#: Levels fall to the higher of a cell's ground and a neighbour's level until none changes.
+_SPILL = _GAUSS | {
+    "near8": _EIGHT,
+    "nb": "SELECT a.r * 64 + a.c AS x, b.r * 64 + b.c AS y, b.v AS ground FROM g2 a, near8 JOIN g2 b ON b.r = a.r + i AND b.c = a.c + j",
+    "lev(id, s) USING KEY (id)": """SELECT r * 64 + c, CASE WHEN r = 0 OR c = 0 OR r = h - 1 OR c = w - 1 THEN v ELSE 1e300 END FROM g2, size
+        UNION SELECT n.y, min(greatest(n.ground, p.s)) FROM lev p JOIN nb n ON n.x = p.id JOIN recurring.lev q ON q.id = n.y WHERE greatest(n.ground, p.s) < q.s GROUP BY n.y""",
+    "fill": "SELECT g2.r, g2.c, v AS elev, s AS spill, s - v AS depth FROM g2 JOIN lev ON lev.id = g2.r * 64 + g2.c",
+}
+
+
+@query("spill_fill", sql("cell size dem", "SELECT r, c, round(elev, 6) + 0e0 AS elev, round(spill, 6) + 0e0 AS spill, round(depth, 6) + 0e0 AS depth FROM fill", _SPILL, True))
 def _(spark, d):
     x = Rasters(spark, d)
-    return terrain.fill_depressions(x.dem, x.grid)
+    return rounded(terrain.fill_depressions(x.dem, x.grid), "elev", "spill", "depth")
 
 
-@query("pit_presence")
+@query("pit_presence", sql("cell size db mask dem obj", "SELECT object_id, max(CASE WHEN n >= 5 AND top THEN 1 ELSE 0 END) AS has_pit FROM obj LEFT JOIN pit ON pit.id = obj.r * 64 + obj.c GROUP BY object_id", _SPILL | {"deep": "SELECT r, c FROM fill WHERE depth > 0"} | _regions("deep", "low", False)
+    | {"sq": _SQUARE, "tops": "SELECT a.r * 64 + a.c AS id, a.depth >= max(b.depth) AS top FROM fill a, sq JOIN fill b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c, a.depth", "pit": "SELECT low.id, n, top FROM low JOIN tops USING (id)"}, True))
 def _(spark, d):
     x = Rasters(spark, d)
     return terrain.pit_presence(x.objects, terrain.fill_depressions(x.dem, x.grid), x.grid, 5)
@@ -748,7 +799,7 @@ def _(spark, d):
     return spark.createDataFrame([tuple(box)], "xmin double, ymin double, xmax double, ymax double")
 
 
-@query("utm_round_trip")
+@query("utm_round_trip", sql("scenes", "SELECT image_id, round(xmin, 6) + 0e0 AS x, round(ymin, 6) + 0e0 AS y FROM scenes"))
 def _(spark, d):
     pts = fx.scenes(spark, d).select("image_id", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
     pts = pts.withColumn("code", F.substring(geo.utm_zone(F.col("y"), F.col("x")), 6, 5).cast("int"))
