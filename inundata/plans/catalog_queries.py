@@ -807,10 +807,48 @@ def _(spark, d):
     return rounded(geo.reproject(there, F.col("code"), 4326).drop("code"), "x", "y")
 
 
+@query("water_history", sql("cell occ", "SELECT r, c, v FROM occ"))
+def _(spark, d):
+    return catalog.occurrence(Rasters(spark, d).occurrence.withColumnRenamed("v", "occurrence"))
+
+
+@query("terrain_image", sql("cell dem", "SELECT r, c, round(v, 6) + 0e0 AS v FROM dem"))
+def _(spark, d):
+    return rounded(catalog.terrain("SRTM 30m", {"USGS/SRTMGL1_003": Rasters(spark, d).dem.withColumnRenamed("v", "elevation")}), "v")
+
+
+@query("terrain_tiles", sql("cell dem", """
+    SELECT r, c, round(CASE WHEN c < 40 AND (r + c) % 7 > 0 THEN v WHEN c >= 24 THEN v + 1 END, 6) + 0e0 AS v FROM dem"""))
+def _(spark, d):
+    x = Rasters(spark, d)
+    tiles = x.dem.where("c < 40").select("r", "c", F.lit("a").alias("tile"), F.lit(0.0).alias("xmin"), F.when((F.col("r") + F.col("c")) % 7 > 0, F.col("v")).alias("DSM"))  # overlapping tiles, the first with gaps
+    tiles = tiles.unionByName(x.dem.where("c >= 24").select("r", "c", F.lit("b").alias("tile"), F.lit(24.0).alias("xmin"), (F.col("v") + 1).alias("DSM")))
+    far = x.dem.select("r", "c", F.lit("0").alias("tile"), F.lit(900.0).alias("xmin"), F.lit(-1.0).alias("DSM"))  # touches no box
+    tiles = tiles.unionByName(far).selectExpr("*", "xmin + 40 AS xmax", "0e0 AS ymin", "1e0 AS ymax")
+    return rounded(catalog.terrain("ALOS AW3D30 30m", {"JAXA/ALOS/AW3D30/V3_2": tiles}, geo.Box(0.0, 0.0, 64.0, 1.0)), "v")
+
+
 # Whole stages -----------------------------------------------------------------------------------
 
 
-@query("detect_flood")
+@query("prepare_scene", sql("cell nir occ", """
+    SELECT p.r - r0 AS r, p.c - c0 AS c, round(p.v, 6) + 0e0 AS band, CASE WHEN occ.v > 20 THEN 1 ELSE 0 END AS seed
+    FROM made p JOIN occ USING (r, c), b WHERE r >= r0 AND r <= r1 AND c >= c0 AND c <= c1""", {
+    "made": "SELECT r, c, coalesce(CASE WHEN r BETWEEN 60 AND 200 AND c BETWEEN 7 AND 50 AND label = 3 THEN cell.v END, CASE WHEN r BETWEEN 90 AND 230 AND c BETWEEN 12 AND 55 THEN nir.v END) AS v FROM cell JOIN nir USING (r, c)",
+    "b": "SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM made WHERE v IS NOT NULL"}))
+def _(spark, d):
+    from inundata.plans.flows import prepare
+
+    x = Rasters(spark, d)
+    scenes = [x.made("case when r between 60 and 200 and c between 7 and 50 and label = 3 then v end"), x.made("case when r between 90 and 230 and c between 12 and 55 then 0.5e0 + v end")]
+    band, seed, _ = prepare(scenes, x.occurrence, x.grid, x.grid)
+    return rounded(band.withColumnRenamed("v", "band").join(seed.withColumnRenamed("v", "seed"), ["r", "c"]), "band")
+
+
+@query("detect_flood", sql("cell size db occ", 'SELECT r, c, v FROM "full"', {"src": "SELECT r, c, pow(10e0, v / 10) AS v FROM db"} | _BOX
+    | {"calm": f"SELECT r, c, CASE WHEN v IS NOT NULL THEN 10 * log10(greatest({_LEE}, 1e-15)) END AS v FROM box", "dark": "SELECT r, c FROM calm WHERE v < -15.5e0 AND v <> 0"} | _regions("dark", "lab")
+    | {"grown": "SELECT db.r, db.c, CASE WHEN l IN (SELECT l FROM lab JOIN occ ON occ.r = lab.r AND occ.c = lab.c WHERE occ.v > 20) THEN 1 ELSE 0 END AS v FROM db LEFT JOIN lab ON id = db.r * 64 + db.c"}
+    | _morph("grown", "deed") | _cleaned("morph", 20, 30), True).replace("full AS", '"full" AS'))
 def _(spark, d):
     from inundata.plans.flows import detect
 
