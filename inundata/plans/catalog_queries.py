@@ -452,17 +452,36 @@ def _(spark, d):
     return rounded(terrain.fill_depressions(x.dem, x.grid), "elev", "spill", "depth")
 
 
-@query("pit_presence", sql("cell size db mask dem obj", "SELECT object_id, max(CASE WHEN n >= 5 AND top THEN 1 ELSE 0 END) AS has_pit FROM obj LEFT JOIN pit ON pit.id = obj.r * 64 + obj.c GROUP BY object_id", _SPILL | {"deep": "SELECT r, c FROM fill WHERE depth > 0"} | _regions("deep", "low", False)
-    | {"sq": _SQUARE, "tops": "SELECT a.r * 64 + a.c AS id, a.depth >= max(b.depth) AS top FROM fill a, sq JOIN fill b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c, a.depth", "pit": "SELECT low.id, n, top FROM low JOIN tops USING (id)"}, True))
+_PITS = _regions("deep", "low", False) | {
+    "sq": _SQUARE,
+    "tops": "SELECT a.r * 64 + a.c AS id, a.depth >= max(b.depth) AS top FROM fill a, sq JOIN fill b ON b.r = a.r + i AND b.c = a.c + j GROUP BY a.r, a.c, a.depth",
+    "pit": "SELECT low.id, n, top FROM low JOIN tops USING (id)",
+    "pits": "SELECT object_id, max(CASE WHEN n >= {0} AND top THEN 1 ELSE 0 END) AS has_pit FROM obj LEFT JOIN pit ON pit.id = obj.r * 64 + obj.c GROUP BY object_id",
+}
+_PITS = _SPILL | {"deep": "SELECT r, c FROM fill WHERE depth > 0"} | _PITS
+
+
+@query("pit_presence", sql("cell size db mask dem obj", "SELECT object_id, has_pit FROM pits", _PITS, True).replace("{0}", "5"))
 def _(spark, d):
     x = Rasters(spark, d)
     return terrain.pit_presence(x.objects, terrain.fill_depressions(x.dem, x.grid), x.grid, 5)
 
 
-@query("depression_join")
+_R = lambda *names: ", ".join(f'round({c}, 6) + 0e0 AS "{c}"' for c in names)
+_JOINED = _PITS | {
+    "spots": "SELECT object_id, obj.r, obj.c, dem.v, fill.depth AS f, avg(dem.v) OVER (PARTITION BY object_id) - dem.v AS d FROM obj JOIN dem USING (r, c) JOIN fill USING (r, c)",
+    "whole": """SELECT object_id, count(*) AS area_px, avg(r) AS cent_row, avg(c) AS cent_col, avg(v) AS elev_mean, stddev_pop(v) AS elev_std, min(v) AS elev_min, max(v) AS elev_max, avg(v) AS LWSE, count(*) * 1e-6 AS area_km2,
+        avg(c) AS x, -avg(r) AS y, avg(f) AS depre_mn, max(f) AS depre_max, stddev_pop(f) AS depre_sd, count(*) FILTER (f > 0.1e0) / count(*)::DOUBLE AS depre_pct, sum(f) AS depre_vol,
+        avg(d) AS depth_mn, median(d) AS depth_md, min(d) AS depth_min, max(d) AS depth_max, stddev_pop(d) AS depth_sd, count(*) FILTER (d < 0) / count(*)::DOUBLE AS frac_neg, sum(greatest(d, 0e0)) AS depth_vol FROM spots GROUP BY object_id""",
+}
+_MEASURED = ("cent_row", "cent_col", "elev_mean", "elev_std", "elev_min", "elev_max", "LWSE", "area_km2", "x", "y", "depre_mn", "depre_max", "depre_sd", "depre_pct", "depre_vol", "depth_mn", "depth_md", "depth_min", "depth_max", "depth_sd", "frac_neg", "depth_vol")
+
+
+@query("depression_join", sql("cell size db mask dem obj", f'SELECT object_id AS "ID", area_px, has_pit, {_R(*_MEASURED)} FROM whole JOIN pits USING (object_id)', _JOINED, True).replace("{0}", "50"))
 def _(spark, d):
     x = Rasters(spark, d)
-    return terrain.add_depression_attributes(obj.object_attributes(x.objects, x.grid, x.dem, "mean"), x.objects, x.dem, x.grid)
+    out = terrain.add_depression_attributes(obj.object_attributes(x.objects, x.grid, x.dem, "mean"), x.objects, x.dem, x.grid)
+    return rounded(out, *_MEASURED)
 
 
 _FILL = "CASE WHEN (r + c) % 11 = 0 THEN NULL ELSE greatest(v, 0e0) END"
