@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inundata.operators import knn, objects as obj
+from inundata.storage import Scratch
 
 #: Pairs of columns that can hold a centroid, the first present counts.
 CENTROIDS = (("cent_col", "cent_row"), ("cent_x", "cent_y"), ("x", "y"))
@@ -111,6 +112,8 @@ class ObjectRules:
         every threshold.
         """
         df = self.df if "distance" in self.df.columns else distance_to_flood(self.df, reference)
+        if threshold == "auto":
+            df = Scratch(df.sparkSession).keep(df, "distances")
         y = F.log1p(F.col("distance"))
         open_ = F.col("predict").isNull() & F.col("distance").isNotNull()
         if threshold != "auto":
@@ -126,8 +129,11 @@ class ObjectRules:
         return self._next(judged.withColumn("predict", code).drop("t", "_n"))
 
     def run(self, reference: DataFrame, threshold_px: int = 50, k: int = 5) -> ObjectRules:
-        """All rules in their order, with distances to the objects of code 1."""
-        return self.small(threshold_px).large().depressions().levels(reference, k=k).distances()
+        """All rules in their order, with distances to the objects of code 1. Objects are saved where a rule reads them more than once."""
+        scratch = Scratch(self.df.sparkSession)
+        saved = lambda rules: ObjectRules(scratch.keep(rules.df, "objects"), rules.skipped)
+        judged = saved(saved(self).small(threshold_px).large().depressions())
+        return saved(judged.levels(reference, k=k)).distances()
 
     def results(self) -> DataFrame:
         return self.df
@@ -157,10 +163,9 @@ def distance_to_flood(objects: DataFrame, reference: DataFrame | None = None) ->
     place = next((x for x in PLACES if reference is not None and set(x) <= set(reference.columns)), None)
     if place is not None and reference.take(1):
         spots = reference.select(F.col("segment_id").alias("nid"), F.col(place[0]).alias("x"), F.col(place[1]).alias("y"))
-    if not spots.take(1):
-        return objects.withColumn("distance", F.when(F.col(ox).isNotNull() & F.col(oy).isNotNull(), float("inf")))
     near = knn.nearest(me, spots, 1).select(F.col("id").alias("ID"), F.sqrt("d2").alias("distance"))
-    return objects.drop("distance").join(near, "ID", "left")
+    lone = F.when(F.col(ox).isNotNull() & F.col(oy).isNotNull(), float("inf"))  # an object with a place has a nearest spot unless there is none
+    return objects.drop("distance").join(near, "ID", "left").withColumn("distance", F.coalesce("distance", lone))
 
 
 def _cluster_floor(values: DataFrame, clusters: int) -> float:

@@ -1,7 +1,8 @@
 """GeoTIFF files as cell tables: a reader and a writer in numpy, and a Spark data source.
 
-Covers single files of whole or floating numbers in strips or tiles, without
-compression, with deflate or with LZW, with the horizontal predictor.
+Covers single files, of more than 4 GB too, of whole or floating numbers in
+strips or tiles, without compression, with deflate or with LZW, with the
+horizontal predictor.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from inundata.operators.grid import Grid
+from inundata.storage import Scratch
+
+#: Bytes of a strip of cells before compression.
+STRIP_BYTES = 4_000_000
 
 #: Fixed values of the format: sizes of field types, and the tags that are read.
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
@@ -47,18 +54,22 @@ class Layout:
 
 
 def read_layout(f) -> Layout:
-    head = f.read(8)
+    head = f.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
+    kind = struct.unpack(order + "H", head[2:4])[0] if order else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF file")
-    f.seek(struct.unpack(order + "I", head[4:])[0])
-    n = struct.unpack(order + "H", f.read(2))[0]
-    entries = [struct.unpack(order + "HHI4s", f.read(12)) for _ in range(n)]
+    big = kind == 43  # offsets and counts of 8 bytes
+    place, number, entry, room = ("Q", "Q", "HHQ8s", 8) if big else ("I", "H", "HHI4s", 4)
+    f.seek(struct.unpack(order + place, head[8:16] if big else head[4:8])[0])
+    n = struct.unpack(order + number, f.read(struct.calcsize(order + number)))[0]
+    size_of = struct.calcsize(order + entry)
+    entries = [struct.unpack(order + entry, f.read(size_of)) for _ in range(n)]
     tags: dict[int, tuple] = {}
     for tag, kind, count, raw in entries:
         size = _SIZES.get(kind, 1) * count
-        if size > 4:
-            f.seek(struct.unpack(order + "I", raw)[0])
+        if size > room:
+            f.seek(struct.unpack(order + place, raw)[0])
             raw = f.read(size)
         if kind == 2:
             tags[tag] = (raw[:size].split(b"\0")[0].decode("latin-1"),)
@@ -127,54 +138,103 @@ def read_block(f, lay: Layout, k: int) -> np.ndarray:
     return block
 
 
-def write(path: str, bands: np.ndarray, grid: Grid, rows: int = 256) -> None:
-    """An array (bands, rows, columns) as a GeoTIFF of deflated strips, one plane for each band."""
-    bands = np.atleast_3d(bands) if bands.ndim == 3 else bands[None]
-    n, h, w = bands.shape
-    dtype = bands.dtype.newbyteorder("<")
-    blocks = [zlib.compress(bands[b, i : i + rows].astype(dtype).tobytes()) for b in range(n) for i in range(0, h, rows)]
+def header(grid: Grid, dtype: np.dtype, bands: int, rows: int, sizes: list[int], big: bool | None = None) -> bytes:
+    """All of a file before its blocks: deflated strips of ``rows`` rows, one plane for each band, with these sizes. ``big`` is for files over 4 GB."""
+    if big is None:
+        big = sum(sizes) + 16 * len(sizes) + 4096 >= 1 << 32
+    place, room, entry = ("Q", 8, "<HHQ8s") if big else ("I", 4, "<HHI4s")
     geographic = grid.epsg == 4326
     tags: list[tuple[int, str, tuple]] = [
-        (WIDTH, "I", (w,)), (HEIGHT, "I", (h,)), (BITS, "H", (dtype.itemsize * 8,) * n), (COMPRESSION, "H", (8,)), (262, "H", (1,)), (OFFSETS, "I", (0,) * len(blocks)), (SAMPLES, "H", (n,)),
-        (ROWS, "I", (rows,)), (COUNTS, "I", tuple(map(len, blocks))), (PLANAR, "H", (2,)), (FORMAT, "H", ({"u": 1, "i": 2, "f": 3}[dtype.kind],) * n),
+        (WIDTH, "I", (grid.width,)), (HEIGHT, "I", (grid.height,)), (BITS, "H", (dtype.itemsize * 8,) * bands), (COMPRESSION, "H", (8,)), (262, "H", (1,)), (OFFSETS, place, (0,) * len(sizes)), (SAMPLES, "H", (bands,)),
+        (ROWS, "I", (rows,)), (COUNTS, place, tuple(sizes)), (PLANAR, "H", (2,)), (FORMAT, "H", ({"u": 1, "i": 2, "f": 3}[dtype.kind],) * bands),
         (TRANSFORM, "d", (grid.a, grid.b, 0.0, grid.c0, grid.d, grid.e, 0.0, grid.f0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
     ]
     if grid.epsg is not None:
         tags.append((GEO_KEYS, "H", (1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, GEOGRAPHIC if geographic else PROJECTED, 0, 1, grid.epsg)))
     if grid.nodata is not None:
         tags.append((NODATA, "s", (f"{grid.nodata!r}\0".encode(),)))
-    types = {"H": 3, "I": 4, "d": 12, "s": 2}
-    at = 8 + 2 + 12 * len(tags) + 4
-    fields, extra, spot = [], b"", None
-    for tag, code, values in tags:
-        data = values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
-        count = len(data) if code == "s" else len(values)
-        if tag == OFFSETS:
-            spot = (len(fields), at + len(extra) if len(data) > 4 else None)
-        if len(data) > 4:
-            fields.append([tag, types[code], count, struct.pack("<I", at + len(extra))])
-            extra += data + b"\0" * (len(data) % 2)
-        else:
-            fields.append([tag, types[code], count, data.ljust(4, b"\0")])
-    starts, place = [], at + len(extra)
-    for b in blocks:
-        starts.append(place)
-        place += len(b)
-    packed = struct.pack(f"<{len(starts)}I", *starts)
-    if spot[1] is None:
-        fields[spot[0]][3] = packed
-    else:
-        extra = extra[: spot[1] - at] + packed + extra[spot[1] - at + len(packed) :]
+    types = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
+    raw = [values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values) for _, code, values in tags]
+    directory = 16 if big else 8
+    at = directory + (8 if big else 2) + struct.calcsize(entry) * len(tags) + room
+    spots = []
+    for data in raw:
+        spots.append(at)
+        at += len(data) + len(data) % 2 if len(data) > room else 0
+    starts = np.cumsum([at, *sizes[:-1]]) if sizes else []
+    raw[[t for t, _, _ in tags].index(OFFSETS)] = struct.pack(f"<{len(sizes)}{place}", *map(int, starts))
+    out = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(tags)) if big else struct.pack("<2sHIH", b"II", 42, 8, len(tags))
+    extra = b""
+    for (tag, code, values), data, spot in zip(tags, raw, spots):
+        long = len(data) > room
+        out += struct.pack(entry, tag, types[code], len(data) if code == "s" else len(values), struct.pack("<" + place, spot) if long else data.ljust(room, b"\0"))
+        extra += data + b"\0" * (len(data) % 2) if long else b""
+    return out + struct.pack("<" + place, 0) + extra
+
+
+def created(path: str):
     fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    with fs.open_output_stream(name, compression=None) as f:
-        f.write(struct.pack("<2sHIH", b"II", 42, 8, len(fields)))
-        for tag, kind, count, data in fields:
-            f.write(struct.pack("<HHI4s", tag, kind, count, data))
-        f.write(struct.pack("<I", 0) + extra)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(name, compression=None)
+
+
+def write(path: str, bands: np.ndarray, grid: Grid, rows: int = 256, big: bool | None = None) -> None:
+    """An array (bands, rows, columns) as a GeoTIFF of deflated strips, one plane for each band."""
+    bands = bands if bands.ndim == 3 else bands[None]
+    n, h, _ = bands.shape
+    dtype = bands.dtype.newbyteorder("<")
+    blocks = [zlib.compress(bands[b, i : i + rows].astype(dtype).tobytes()) for b in range(n) for i in range(0, h, rows)]
+    with created(path) as f:
+        f.write(header(grid, dtype, n, rows, [len(b) for b in blocks], big))
         for b in blocks:
             f.write(b)
 
 
+def save_cells(cells: DataFrame, grid: Grid, path: str, dtype: str = "float32") -> int:
+    """Cells (r, c, v) as a GeoTIFF at ``path`` in a folder that all share; returns the file's bytes.
+
+    Tasks fill and deflate strips of about STRIP_BYTES, which are saved; then
+    one writer copies them into the file in their order, one partition at a
+    time. Null and missing cells get the grid's nodata value, or else NaN or 0.
+    Cells beyond the grid raise ValueError; of cells that repeat a place one is
+    written. An empty table gives a file without data.
+    """
+    kind = np.dtype(dtype).newbyteorder("<")
+    none = grid.nodata if grid.nodata is not None else (np.nan if kind.kind == "f" else 0)
+    rows, width, height = max(1, min(grid.height, STRIP_BYTES // (grid.width * kind.itemsize))), grid.width, grid.height
+
+    def strip(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(key[0])
+        block = np.full((min(rows, height - k * rows), width), none, kind)
+        block[pdf["r"].to_numpy() - k * rows, pdf["c"].to_numpy()] = pdf["v"].fillna(none).to_numpy()
+        return pd.DataFrame({"strip": [k], "data": [zlib.compress(block.tobytes())]})
+
+    if cells.where(f"r < 0 or c < 0 or r >= {height} or c >= {width}").take(1):
+        raise ValueError("there are cells beyond the grid")
+    with Scratch(cells.sparkSession) as scratch:
+        keyed = cells.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("v").cast("double").alias("v"))
+        made = keyed.groupBy(F.expr(f"r div {rows}").alias("strip")).applyInPandas(strip, "strip int, data binary")
+        saved = scratch.save(made, "strips")
+        sizes = {r["strip"]: r["n"] for r in saved.select("strip", F.octet_length("data").alias("n")).collect()}  # a number for each strip
+        empty = lambda k: zlib.compress(np.full((min(rows, height - k * rows), width), none, kind).tobytes())
+        n = -(-height // rows)
+        lengths = [sizes[k] if k in sizes else len(empty(k)) for k in range(n)]
+        at = 0
+        with created(path) as f:
+            head = header(grid, kind, 1, rows, lengths)
+            f.write(head)
+            for r in saved.orderBy("strip").toLocalIterator():
+                while at < r["strip"]:
+                    f.write(empty(at))
+                    at += 1
+                f.write(bytes(r["data"]))
+                at += 1
+            while at < n:
+                f.write(empty(at))
+                at += 1
+    return len(head) + sum(lengths)
+
+
 def opened(path: str):
     fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     return fs.open_input_file(name)
@@ -185,12 +245,19 @@ def layout(path: str) -> Layout:
         return read_layout(f)
 
 
-def load(spark: SparkSession, path: str, band: int | None = 1):
-    """(cells, grid) of a file: (r, c, v) of one band, or (band, r, c, v) of all with band None. Nodata is null."""
+def load(spark: SparkSession, path: str, band: int | None = 1, window: tuple[int, int, int, int] | None = None):
+    """(cells, grid) of a file: (r, c, v) of one band, or (band, r, c, v) of all with band None. Nodata is null.
+
+    With a window (r0, r1, c0, c1; ends exclusive) or a band only the blocks
+    that have some of it are read; places stay those of the whole file.
+    """
     grid = layout(path).grid
     spark.dataSource.register(RasterSource)
-    df = spark.read.format("inundata_raster").option("path", path).load()
-    return (df.where(f"band = {band}").drop("band") if band is not None else df), grid
+    reader = spark.read.format("inundata_raster").option("path", path).option("band", "" if band is None else str(band))
+    if window:
+        reader = reader.option("window", ",".join(map(str, window)))
+    df = reader.load()
+    return (df.drop("band") if band is not None else df), grid
 
 
 class _Block(InputPartition):
@@ -200,23 +267,40 @@ class _Block(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, band: int | None = None, window: tuple[int, ...] | None = None) -> None:
+        self.path, self.band, self.window = path, band, window
+
+    def place(self, lay: Layout, k: int) -> tuple[int, int, int]:
+        """Plane, first row and first column of a block."""
+        plane, at = divmod(k, lay.across * -(-lay.grid.height // lay.block_h)) if lay.planar else (0, k)
+        return plane, at // lay.across * lay.block_h, at % lay.across * lay.block_w
+
+    def wanted(self, lay: Layout, k: int) -> bool:
+        plane, r, c = self.place(lay, k)
+        if lay.planar and self.band is not None and plane != self.band - 1:
+            return False
+        r0, r1, c0, c1 = self.window or (0, lay.grid.height, 0, lay.grid.width)
+        return r < r1 and r + lay.block_h > r0 and c < c1 and c + lay.block_w > c0
 
     def partitions(self) -> list[_Block]:
-        return [_Block(k) for k in range(len(layout(self.path).offsets))]
+        lay = layout(self.path)
+        return [_Block(k) for k in range(len(lay.offsets)) if self.wanted(lay, k)]
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no block has any of the window
+            return
         with opened(self.path) as f:
             lay = read_layout(f)
             block = read_block(f, lay, partition.k)
-        per_plane = lay.across * -(-lay.grid.height // lay.block_h)
-        plane, at = divmod(partition.k, per_plane) if lay.planar else (0, partition.k)
-        r0, c0 = at // lay.across * lay.block_h, at % lay.across * lay.block_w
+        plane, r0, c0 = self.place(lay, partition.k)
         h, w = min(block.shape[0], lay.grid.height - r0), min(lay.block_w, lay.grid.width - c0)
-        rr, cc = np.mgrid[r0 : r0 + h, c0 : c0 + w].astype(np.int32)
+        t, b, l, r = self.window or (0, lay.grid.height, 0, lay.grid.width)
+        rows, cols = slice(max(0, t - r0), max(0, min(h, b - r0))), slice(max(0, l - c0), max(0, min(w, r - c0)))
+        rr, cc = (x[rows, cols] for x in np.mgrid[r0 : r0 + h, c0 : c0 + w].astype(np.int32))
         for s in range(block.shape[2]):
-            v = block[:h, :w, s].astype(float).ravel()
+            if self.band is not None and plane + s + 1 != self.band:
+                continue
+            v = block[:h, :w, s][rows, cols].astype(float).ravel()
             bad = ~np.isfinite(v)
             if lay.grid.nodata is not None:
                 bad |= v == lay.grid.nodata
@@ -234,4 +318,5 @@ class RasterSource(DataSource):
         return "band int, r int, c int, v double"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        band, window = self.options.get("band"), self.options.get("window")
+        return _Reader(self.options["path"], int(band) if band else None, tuple(map(int, window.split(","))) if window else None)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from inundata.operators import components, focal, grid as g, terrain
 from inundata.operators.grid import Grid
+from inundata.sources import geotiff
 
 
 def cells(spark, a):
@@ -211,3 +212,34 @@ def test_gaussian_of_a_constant_and_decibels(spark):
     assert np.allclose(array(focal.gaussian(df, grid), grid), 4)
     back = df.withColumn("v", g.to_db(g.from_db(F.col("v"))))
     assert np.allclose(array(back, grid), 4)
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_large_files_are_read_like_others(tmp_path, big):
+    bands = np.arange(2 * 30 * 7, dtype=np.int16).reshape(2, 30, 7)
+    geotiff.write(f"{tmp_path}/x.tif", bands, Grid(7, 30, epsg=4326, nodata=-1.0), 8, big)
+    with geotiff.opened(f"{tmp_path}/x.tif") as f:
+        lay = geotiff.read_layout(f)
+        got = np.concatenate([geotiff.read_block(f, lay, k)[:, :, 0] for k in range(len(lay.offsets))])
+    assert (got.reshape(2, 30, 7) == bands).all() and lay.grid.epsg == 4326 and lay.grid.nodata == -1
+
+
+def test_cells_become_a_file_and_windows_read_few_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geotiff, "STRIP_BYTES", 10 * 9 * 4)
+    grid = Grid(9, 47, 2.0, e=-2.0, c0=5.0, f0=7.0, epsg=32633, nodata=-5.0)
+    rows = [(r, c, None if (r + c) % 7 == 0 else r * 100.0 + c) for r in range(47) if not 20 <= r < 33 for c in range(9) if c != 4]
+    path = f"file://{tmp_path}/cells.tif"
+    cells = spark.createDataFrame(rows, "r int, c int, v double").repartition(3)
+    assert geotiff.save_cells(cells, grid, path) == (tmp_path / "cells.tif").stat().st_size
+    want = {(r, c): v for r, c, v in rows}
+    df, got = geotiff.load(spark, path)
+    assert got == grid
+    assert {(x.r, x.c): x.v for x in df.collect()} == {(r, c): want.get((r, c)) for r in range(47) for c in range(9)}
+    part, _ = geotiff.load(spark, path, window=(12, 18, 2, 6))
+    assert {(x.r, x.c): x.v for x in part.collect()} == {(r, c): want.get((r, c)) for r in range(12, 18) for c in range(2, 6)}
+    assert part.rdd.getNumPartitions() == 1
+    assert geotiff.load(spark, path, window=(90, 95, 0, 3))[0].count() == 0
+    geotiff.save_cells(cells.where("false"), grid, path)
+    assert geotiff.load(spark, path)[0].where("v is not null").count() == 0
+    with pytest.raises(ValueError):
+        geotiff.save_cells(spark.createDataFrame([(50, 1, 1.0)], cells.schema), grid, path)
