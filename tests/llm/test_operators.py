@@ -298,6 +298,72 @@ def test_neighbours_over_many_ranges(spark, monkeypatch):
         assert got[i] == hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()
 
 
+def test_digests_are_those_of_a_plain_digester():
+    texts = [prose(120, 3).encode(), LONG.encode()[:2500], b"", b"short", b"z" * 400, (prose(30, 5) + " é" * 40).encode(), bytes(range(33, 97)) * 3]
+    w, steps = fingerprints.WINDOW, fingerprints.STEPS
+    term = [0] + [int(np.rint(c * np.log2(c) * 65536)) for c in range(1, w + 1)]
+    full = 5 * 65536 * w
+    step = lambda x: (full - sum(term[n] for n in collections.Counter(x).values())) * steps // full
+    seen = collections.Counter(step(t[i : i + w]) for t in texts for i in range(len(t) - w + 1))
+    counts = np.array([seen[k] for k in range(steps + 1)])
+    assert (sum(fingerprints.step_counts([t]) for t in texts) == counts).all() and (fingerprints.step_counts(texts) == counts).all()
+    ranks = fingerprints.rarity(counts)
+    order = sorted(range(steps + 1), key=lambda k: (counts[k], k))
+    place = {k: i for i, k in enumerate(order) if fingerprints.LOWEST <= k <= fingerprints.HIGHEST}
+    table = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    table = [int(x) for x in fingerprints.common.mix(table)]
+
+    def mark(x):
+        h = sum(table[b] * pow(fingerprints.common.WordHasher.BASE, i, 1 << 64) for i, b in enumerate(x)) + len(x)
+        return int(fingerprints.common.mix(np.array([h % (1 << 64)], np.uint64))[0])
+
+    for t, got in zip(texts, fingerprints.Digester(ranks)(texts)):
+        n = len(t) - w + 1
+        wins = collections.Counter()
+        span = min(fingerprints.POPULAR, max(n, 0))
+        for i in range(n - span + 1 if n > 0 else 0):
+            best = min(range(i, i + span), key=lambda j: (place.get(step(t[j : j + w]), steps + 1), j))
+            if step(t[best : best + w]) in place:
+                wins[best] += 1
+        least = min(fingerprints.LEAST_WINS, max(1, (n - fingerprints.POPULAR + 1) // 4))
+        features = list(dict.fromkeys(mark(t[j : j + w]) for j in sorted(wins) if wins[j] >= least))
+        if not features and t:
+            features = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little")]
+        filters = np.zeros((-(-len(features) // fingerprints.FILTER_FEATURES), fingerprints.FILTER_BITS), np.uint8)
+        for i, f in enumerate(features):
+            for h in range(fingerprints.HASHES):
+                filters[i // fingerprints.FILTER_FEATURES, (f >> (11 * h)) % fingerprints.FILTER_BITS] = 1
+        assert fingerprints.text_of(got) == fingerprints.text_of(np.packbits(filters, axis=1))
+
+
+def test_random_runs_are_found_and_words_are_not():
+    model = secret_scan.train([prose(300, 9100 + i).encode() for i in range(40)])
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    found = lambda w: bool(secret_scan.scan(w.encode(), model)[1])
+    for n, least in ((16, 0.95), (24, 0.98), (40, 1.0)):
+        assert np.mean([found("".join(rng.choices(letters, k=n))) for _ in range(300)]) >= least
+    words = ["".join(rng.choices(WORDS, k=4)) for _ in range(300)]
+    assert np.mean([found(w) for w in words if len(w) >= 16]) <= 0.02
+
+
+def test_very_long_texts(spark):
+    text = " ".join(np.random.default_rng(8).choice(WORDS, 400_000)) + "\n" + LINE + "\n" + "q" * 300_000
+    docs = spark.createDataFrame([(1, text), (2, text), (3, LINE), (4, LINE + "\nend")], "doc_id long, text string").repartition(2)
+    near = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert {x.doc_id: x.kept for x in exact_dedup.exact_duplicates(docs).collect()} == {1: False, 2: True, 3: True, 4: True}
+    cut = {x.doc_id: x for x in substring_dedup.remove_repeats(docs).collect()}
+    assert cut[2].n_removed == cut[2].n_words and not cut[1].n_removed
+    assert {x.doc_id: x.n_dropped for x in line_dedup.drop_repeated_lines(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 0}
+    ids = {x.doc_id: x for x in bpe.encode(docs, vocabulary()).collect()}
+    assert ids[1].ids == ids[2].ids and ids[1].n_tokens > 400_000
+    prints = {x.doc_id: x for x in fingerprints.fingerprint_neighbours(docs).collect()}
+    assert prints[1].near_next == 1 and prints[1].n_chars == len(text)
+    spans = secret_scan.find_secrets(docs, secret_scan.train([prose(500, 9).encode()])).where("doc_id < 3").select("spans").distinct().count()
+    assert spans == 1
+
+
 def test_entropy_of_windows():
     data = np.frombuffer(LONG.encode()[:3000], np.uint8)
     got = fingerprints.entropies(data)
@@ -378,6 +444,39 @@ def test_toxicity_learns_from_the_unheld(spark):
     assert {x.score for x in none} == {0.0}
 
 
+def test_scores_are_those_of_a_plain_scorer():
+    bad = ["scoundrel", "rotter", "blackguard"]
+    ordinary = [prose(60, 5000 + i).encode() for i in range(80)]
+    toxic = [" ".join([*prose(40, 6000 + i).split(), bad[i % 3], *prose(10, 7000 + i).split(), bad[(i + 1) % 3], "x"]).encode() for i in range(40)]
+    model = toxicity.train(toxic, ordinary, 0.3)
+    import zstandard
+
+    def packed(dictionary, piece):
+        parameters = zstandard.ZstdCompressionParameters(**toxicity._PARAMETERS)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters).compress(piece))
+
+    def pieces(t):
+        while t:
+            cut = len(t) if len(t) <= toxicity.WINDOW else t[: toxicity.WINDOW].rfind(b" ", 1) + 1 or toxicity.WINDOW
+            yield t[:cut]
+            t = t[cut:]
+
+    n, frame = min(len(model.ordinary), len(model.toxic)), toxicity._FRAME
+    a, b = (model.base + x[len(x) - n :] + frame for x in (model.ordinary, model.toxic))
+    texts = [*toxic[:6], *ordinary[:6], b"", b"short", b"a" * 300, "Ünïcode ROTTER".encode()]
+    for text, got in zip(texts, model.scores(texts)):
+        g = [packed(a, w) - packed(b, w) for w in (frame[:32] + p + frame[32:] for p in pieces(plain(text.decode()).encode()))]
+        x = np.zeros(7)
+        if g:
+            top = sorted(g, reverse=True)[:3]
+            while len(top) < 3:
+                top.append(min(top[-1], 0))
+            hits = sum(v >= toxicity.HIT for v in g)
+            x = np.array([*top, np.mean(g), 10 * hits / len(g), np.log(len(g)), np.log1p(hits)])
+        z = model.weights[0] + ((x - model.mean) / model.dev) @ model.weights[1:]
+        assert abs(got - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 PAGES = [(1, "http://a/ b", "x" * 1200), (2, None, "x" * 1200), (3, "u", "é" * 600), (4, "u", "é" * 600), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (9, "u", "y" * 999), (10, "u", "y" * 999), (2, "again", "x" * 1200), (None, "u", "x" * 1200)]
 
 
