@@ -826,12 +826,12 @@ def _(spark, d):
     return rounded(geo.reproject(there, F.col("code"), 4326).drop("code"), "x", "y")
 
 
-@query("geotiff_window", sql("cell db", "SELECT r, c, round(v::FLOAT, 4) + 0e0 AS v FROM db WHERE r >= 70 AND r < 210 AND c >= 5 AND c < 60"))
+@query("geotiff_window", sql("cell db", "SELECT r, c, round(v, 6) + 0e0 AS v FROM db WHERE r >= 70 AND r < 210 AND c >= 5 AND c < 60"))
 def _(spark, d):
     x = Rasters(spark, d)
     path = Scratch(spark).path("rasters", keep=True) + ".tif"
-    geotiff.save_cells(x.db, Grid(x.grid.width, x.grid.height, 10.0, e=-10.0, epsg=32633, nodata=-9999.0), path)
-    return rounded(geotiff.load(spark, path, window=(70, 210, 5, 60))[0], "v", digits=4)
+    geotiff.save_cells(x.db, Grid(x.grid.width, x.grid.height, 10.0, e=-10.0, epsg=32633, nodata=-9999.0), path, "float64")
+    return rounded(geotiff.load(spark, path, window=(70, 210, 5, 60))[0], "v")
 
 
 @query("water_history", sql("cell occ", "SELECT r, c, v FROM occ"))
