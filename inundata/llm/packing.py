@@ -18,8 +18,8 @@ from inundata.storage import Scratch
 
 #: Tokens of one sequence.
 CAPACITY = 2048
-#: Parts that the pieces of one length are numbered in, and the full ones; bounds a numbering group.
-PARTS, FULL_PARTS = 64, 4096
+#: Pieces of one length that are numbered together, about; bounds a numbering group.
+PART_ROWS = 200_000
 
 
 def fill(counts: np.ndarray, capacity: int, first: int) -> dict[int, int]:
@@ -139,9 +139,11 @@ def pack(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY) ->
     full pieces are sequences of their own, the rest joins the shorter
     documents. Their lengths are counted (a table of at most ``capacity``
     rows), and a plan made from the counts alone says which lengths share a
-    sequence and how often. Documents of one length are numbered in parts by
-    the hash of their id, so that a frequent length is no single group; its
-    number leads each to its place.
+    sequence and how often. Documents of one length are numbered in parts of
+    about PART_ROWS by the hash of their id, so that a frequent length is no
+    single group; its number leads each to its place. The driver holds a count
+    for each part, 24 bytes for 200,000 pieces. A long text is encoded in parts
+    of a few MB, and its ids are held at once.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Null or empty texts are the end id alone. Rows that repeat a doc_id are
@@ -151,10 +153,11 @@ def pack(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY) ->
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     with Scratch(spark) as scratch:
         pieces = scratch.keep(common.documents(docs).mapInArrow(_pieces(path, end, capacity), schema), "pieces")
-        parts = F.when(F.col("length") == capacity, FULL_PARTS).otherwise(PARTS)
-        part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), parts).cast("int")
-        keyed = pieces.withColumn("part", part)
-        sizes = {(r["length"], r["part"]): r["n"] for r in keyed.groupBy("length", "part").agg(F.count("*").alias("n")).collect()}  # capacity * PARTS + FULL_PARTS rows at most
+        lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
+        parts = spark.createDataFrame([(r["length"], -(-r["n"] // PART_ROWS)) for r in lengths] or [(0, 1)], "length long, parts long")
+        part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts").cast("int")
+        keyed = pieces.join(F.broadcast(parts), "length").withColumn("part", part)
+        sizes = {(r["length"], r["part"]): r["n"] for r in keyed.groupBy("length", "part").agg(F.count("*").alias("n")).collect()}  # capacity rows, and one for each PART_ROWS pieces
         counts, before, offsets = np.zeros(capacity + 1, np.int64), {}, []
         for (length, p), n in sorted(sizes.items()):
             offsets.append((length, p, int(counts[length])))
