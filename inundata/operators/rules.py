@@ -159,10 +159,12 @@ def distance_to_flood(objects: DataFrame, reference: DataFrame | None = None) ->
         return objects.withColumn("distance", F.lit(float("inf")))
     ox, oy = centroid(objects)
     me = objects.select(F.col("ID").alias("id"), F.col(ox).alias("x"), F.col(oy).alias("y"))
-    spots = objects.where("predict = 1").select(F.col("ID").alias("nid"), F.col(ox).alias("x"), F.col(oy).alias("y"))
     place = next((x for x in PLACES if reference is not None and set(x) <= set(reference.columns)), None)
     if place is not None and reference.take(1):
         spots = reference.select(F.col("segment_id").alias("nid"), F.col(place[0]).alias("x"), F.col(place[1]).alias("y"))
+    else:
+        flood = objects.where("predict = 1") if "predict" in objects.columns else objects.where("false")
+        spots = flood.select(F.col("ID").alias("nid"), F.col(ox).alias("x"), F.col(oy).alias("y"))
     near = knn.nearest(me, spots, 1).select(F.col("id").alias("ID"), F.sqrt("d2").alias("distance"))
     lone = F.when(F.col(ox).isNotNull() & F.col(oy).isNotNull(), float("inf"))  # an object with a place has a nearest spot unless there is none
     return objects.drop("distance").join(near, "ID", "left").withColumn("distance", F.coalesce("distance", lone))
