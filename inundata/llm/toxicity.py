@@ -19,15 +19,15 @@ from inundata.llm import common
 #: Labelled rows that training uses at most, of either class, and the longest text among them.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1500, 4000, 20_000
 #: Bytes of a window, of the dictionary of ordinary language, and of the two that are compared.
-WINDOW, BASE_BYTES, OWN_BYTES = 64, 110_000, 4096
-#: Letters in a row that the ordinary language either has or not; letters kept around those that it doesn't have, and least bytes of such a piece.
-GRAM, AROUND, PIECE = 6, 2, 9
-#: Rounds in which windows train the dictionaries anew, and how many times as often toxic texts must have windows of such a gain.
-ROUNDS, LIFT = 2, 4
+WINDOW, BASE_BYTES, OWN_BYTES = 64, 110_000, 2048
+#: First bytes of a word that are written by their place in it, and the step between the places' alphabets.
+MARKED, STEP = 8, 23
+#: Bytes in a row that are counted in both classes; how many times as often one class must have them, and how often at least for each of its texts, to be its own; bytes kept around them.
+GRAM, LIFT, LEAST, AROUND = 6, 10, 0.02, 2
 #: Parts of the training texts; each is scored by dictionaries of the others, which calibrates the scores.
 FOLDS = 3
 #: A window with this gain or more counts as a hit.
-HIT = 3
+HIT = 2
 #: Bytes of text that one step works on.
 STEP_BYTES = 1_000_000
 
@@ -37,6 +37,37 @@ _BEFORE, _BEHIND = _FRAME[:32], _FRAME[32:]
 _PARAMETERS = dict(window_log=18, hash_log=17, chain_log=16, search_log=4, target_length=32, strategy=zstd.STRATEGY_LAZY2, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+def _alphabets() -> np.ndarray:
+    """For each place in a word a permutation of the bytes that aren't ASCII separators; the last one changes nothing."""
+    inside = np.array([b for b in range(256) if b >= 128 or chr(b).isalnum()], np.uint8)
+    out = np.tile(np.arange(256, dtype=np.uint8), (MARKED + 1, 1))
+    for place in range(MARKED):
+        out[place, inside] = np.roll(inside, -STEP * (MARKED - place))
+    return out
+
+
+_ALPHABETS = _alphabets()
+_SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def marked(text: bytes) -> bytes:
+    """The text in lower case, with the first bytes of each word in an alphabet of their place.
+
+    A compressor then matches the beginning of a word with beginnings of words
+    alone: a stem that ordinary words have inside is another string at the start.
+    """
+    text, out, place = common.ascii_lower(text), [], 0
+    for i in range(0, len(text), STEP_BYTES):
+        x = np.frombuffer(text, np.uint8, min(STEP_BYTES, len(text) - i), i)
+        at = np.arange(len(x), dtype=np.int32)
+        start = np.maximum.accumulate(np.where(_SEPARATOR[x], at + 1, -place))
+        places = np.minimum(at - start, MARKED)
+        places[_SEPARATOR[x]] = MARKED
+        out.append(_ALPHABETS[places, x].tobytes())
+        place = min(MARKED, len(x) - int(start[-1]))
+    return b"".join(out)
+
+
 def windows(text: bytes, size: int = WINDOW) -> Iterator[bytes]:
     """The whole text in pieces of at most ``size`` bytes that end at a space where there is one."""
     i, n = 0, len(text)
@@ -78,7 +109,7 @@ class Pair:
         return np.fromiter((len(a(w)) - len(b(w)) for w in (_BEFORE + x + _BEHIND for x in pieces)), np.int16)
 
     def features(self, text: bytes) -> list[float]:
-        """Of a lower-case text: the three highest gains, their mean, the share and number of hits, the number of windows."""
+        """Of a marked text: the three highest gains, their mean, the share and number of hits, the number of windows."""
         g = self.gains(windows(text))
         if not len(g):
             return [0.0] * 7
@@ -94,76 +125,57 @@ def pair(base: bytes, ordinary: bytes, toxic: bytes) -> Pair:
 
 
 def _grams(data: bytes) -> np.ndarray:
-    """A 24-bit number for each GRAM bytes in a row."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    """A number for each GRAM bytes in a row."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
     n = max(0, len(x) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.int64)
     for i in range(GRAM):
-        out = (out << np.uint64(8)) | x[i : i + n]
-    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-
-
-class Language:
-    """The dictionary of ordinary language, and what other texts have beside it."""
-
-    def __init__(self, ordinary: list[bytes]) -> None:
-        self.base = trained([w for t in ordinary for w in windows(t, 200)], BASE_BYTES, 16)
-        self.known = np.zeros(1 << 24, bool)
-        self.known[_grams(self.base)] = True
-
-    def rest(self, texts: list[bytes]) -> list[bytes]:
-        """Pieces of the texts that the dictionary doesn't cover, with a few letters around them."""
-        out, some, size = [], [], 0
-        for k, t in enumerate(texts):
-            some.append(t)
-            size += len(t)
-            if size > STEP_BYTES or k == len(texts) - 1:
-                out += self._rest(b"\0".join(some))
-                some, size = [], 0
-        return out
-
-    def _rest(self, data: bytes) -> list[bytes]:
-        hits = np.flatnonzero(self.known[_grams(data)])
-        depth = np.bincount(hits, minlength=len(data) + 1) - np.bincount(hits + GRAM, minlength=len(data) + 1)
-        bare = (np.cumsum(depth[: len(data)]) == 0) & (np.frombuffer(data, np.uint8) != 0)
-        edge = np.diff(np.concatenate(([0], bare.astype(np.int8), [0])))
-        out = []
-        for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-            more = max(AROUND, (PIECE - (j - i)) // 2)
-            out.append(data[max(0, i - more) : j + more].replace(b"\0", b" "))
-        return [x for x in out if len(x) >= 8]
-
-
-def learn(language: Language, toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """An ordinary and a toxic dictionary, each trained on texts of its own class.
-
-    Labels tell of texts, not of windows: most windows of a toxic text are
-    ordinary. So the texts are halved, and in each round the dictionaries of a
-    half judge the windows of the other. Of the toxic texts, windows with a gain
-    that ordinary ones seldom have train the next toxic dictionary; of the
-    ordinary texts, those that look toxic train the next ordinary one. What the
-    ordinary language covers is left out, as both compressors have it.
+        out = (out << 8) | x[i : i + n]
+    return out
+
+
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(_grams(b"\0".join(texts)), return_counts=True)
+
+
+def _own(mine: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], texts: int) -> np.ndarray:
+    """Grams that the texts of one class have more often than those of the other, for their length."""
+    (keys, n), (other, m) = mine, others
+    if not len(keys) or not len(other):
+        return keys
+    at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
+    m = np.where(other[at] == keys, m[at], 0)
+    return keys[(n >= max(4, LEAST * texts)) & (n / n.sum() >= LIFT * (m + 0.5) / others[1].sum())]
+
+
+def _runs(text: bytes, grams: np.ndarray, inside: bool) -> list[tuple[int, int]]:
+    """Stretches of a text that the grams cover, or the others."""
+    found = _grams(text)
+    at = np.minimum(np.searchsorted(grams, found), max(0, len(grams) - 1))
+    hits = np.flatnonzero(grams[at] == found) if len(grams) and len(found) else np.empty(0, np.int64)
+    depth = np.bincount(hits, minlength=len(text) + 1) - np.bincount(hits + GRAM, minlength=len(text) + 1)
+    edge = np.diff(np.concatenate(([0], ((np.cumsum(depth[: len(text)]) > 0) == inside).astype(np.int8), [0])))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+
+def learn(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Dictionaries of ordinary language, of ordinary and of toxic text, each trained on marked texts of its class.
+
+    Labels tell of texts, not of windows: most of a toxic text is ordinary. So
+    the ordinary and the toxic dictionary are trained on the stretches of their
+    class's texts that the other class has seldom, and the language that stands
+    before both on the ordinary texts without what toxic ones have more often.
+    Where ordinary texts have too few stretches of their own to fill their
+    dictionary, the rest of them fills it, so that both have one size; where
+    toxic texts have none, theirs is trained on whole texts.
     """
-    halves = [(toxic[h::2], ordinary[h::2]) for h in (0, 1)]
-    pieces = [[language.rest(texts) for texts in half] for half in halves]
-    for _ in range(ROUNDS):
-        chosen = []
-        for h in (0, 1):
-            judge = _trained_pair(language, *pieces[1 - h])
-            found = [[w for t in texts for w in windows(t)] for texts in halves[h]]
-            g, plain = (judge.gains(iter(x)) for x in found)
-            least = next((n for n in range(1, 30) if (g >= n).mean() >= LIFT * max((plain >= n).mean(), 1 / max(1, len(plain)))), None) if len(g) and len(plain) else None
-            if least is None:
-                least = int(np.quantile(g, 0.98)) if len(g) else 0
-            hard = language.rest([w for w, n in zip(found[1], plain) if n >= 2])
-            chosen.append([language.rest([w for w, n in zip(found[0], g) if n >= least]), hard if len(hard) >= 50 else hard + pieces[h][1]])
-        pieces = chosen
-    toxic_pieces, ordinary_pieces = (pieces[0][k] + pieces[1][k] for k in (0, 1))
-    return trained(ordinary_pieces, OWN_BYTES), trained(toxic_pieces, OWN_BYTES)
-
-
-def _trained_pair(language: Language, toxic: list[bytes], ordinary: list[bytes]) -> Pair:
-    return Pair(language.base, trained(ordinary, OWN_BYTES), trained(toxic, OWN_BYTES))
+    a, b = _counts(ordinary), _counts(toxic)
+    own = {0: _own(a, b, len(ordinary)), 1: _own(b, a, len(toxic))}
+    pieces = {y: [t[max(0, i - AROUND) : j + AROUND] for t in texts for i, j in _runs(t, own[y], True)] for y, texts in ((0, ordinary), (1, toxic))}
+    plain = [w for t in ordinary for i, j in _runs(t, own[1], False) for w in windows(t[i:j], 200)]
+    if sum(map(len, pieces[0])) < 4 * OWN_BYTES:
+        pieces[0] += plain
+    return trained(plain, BASE_BYTES, 16), trained(pieces[0], OWN_BYTES), trained(pieces[1] or [w for t in toxic for w in windows(t)], OWN_BYTES)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +205,7 @@ class Model:
         if self.weights is None or not texts:
             return np.full(len(texts), self.prior)
         own = pair(self.base, self.ordinary, self.toxic)
-        x = np.array([own.features(common.ascii_lower(t)) for t in texts])
+        x = np.array([own.features(marked(t)) for t in texts])
         z = np.c_[np.ones(len(x)), (x - self.mean) / self.dev] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -208,19 +220,18 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model:
     """
     if min(len(toxic), len(ordinary)) < 2 * FOLDS:
         return Model(prior=prior)
-    toxic, ordinary = [common.ascii_lower(t) for t in toxic], [common.ascii_lower(t) for t in ordinary]
-    language = Language(ordinary)
+    toxic, ordinary = [marked(t) for t in toxic], [marked(t) for t in ordinary]
     x, y = [], []
     for f in range(FOLDS):
         others = [[t for i, t in enumerate(texts) if i % FOLDS != f] for texts in (toxic, ordinary)]
-        judge = Pair(language.base, *learn(language, *others))
+        judge = Pair(*learn(*others))
         for texts, label in ((toxic, 1.0), (ordinary, 0.0)):
             x += [judge.features(t) for t in texts[f::FOLDS]]
             y += [label] * len(texts[f::FOLDS])
     mean, dev, weights = logistic(np.array(x), np.array(y))
     odds = lambda p: np.log(max(p, 1e-4) / max(1 - p, 1e-4))
     weights[0] += odds(prior) - odds(float(np.mean(y)))
-    return Model(language.base, *learn(language, toxic, ordinary), mean, dev, weights, prior)
+    return Model(*learn(toxic, ordinary), mean, dev, weights, prior)
 
 
 def fold(doc_id: str = "doc_id") -> F.Column:
@@ -256,7 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     out of nothing (held_out false). Without both labels all scores are the
     share of label 1. Every input row gives one row; equal texts have equal
     scores; an empty table gives none. A long text is read window by window:
-    beside it there are two bytes for each window.
+    beside it there are a marked copy and two bytes for each window.
     """
     model = model or fit(docs, labels)
 

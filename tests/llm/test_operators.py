@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,11 +462,23 @@ def test_scores_are_those_of_a_plain_scorer():
             yield t[:cut]
             t = t[cut:]
 
+    def by_place(t):
+        inside, out, place = [b for b in range(256) if b >= 128 or chr(b).isalnum()], bytearray(), 0
+        for x in t:
+            if x in inside:
+                step = toxicity.STEP * max(0, toxicity.MARKED - place)
+                out.append(inside[(inside.index(x) + step) % len(inside)])
+                place += 1
+            else:
+                out.append(x)
+                place = 0
+        return bytes(out)
+
     n, frame = min(len(model.ordinary), len(model.toxic)), toxicity._FRAME
     a, b = (model.base + x[len(x) - n :] + frame for x in (model.ordinary, model.toxic))
     texts = [*toxic[:6], *ordinary[:6], b"", b"short", b"a" * 300, "Ünïcode ROTTER".encode()]
     for text, got in zip(texts, model.scores(texts)):
-        g = [packed(a, w) - packed(b, w) for w in (frame[:32] + p + frame[32:] for p in pieces(plain(text.decode()).encode()))]
+        g = [packed(a, w) - packed(b, w) for w in (frame[:32] + p + frame[32:] for p in pieces(by_place(plain(text.decode()).encode())))]
         x = np.zeros(7)
         if g:
             top = sorted(g, reverse=True)[:3]
@@ -477,6 +490,28 @@ def test_scores_are_those_of_a_plain_scorer():
         assert abs(got - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
 
 
+def test_words_are_marked_alike_across_steps(monkeypatch):
+    text = "An Übung, of marked-up words;\nand averylongwordwithoutanyend  x".encode()
+    whole = toxicity.marked(text)
+    assert len(whole) == len(text) and whole != text and toxicity.marked(b"") == b""
+    for size in (1, 2, 3, 7, 10):
+        monkeypatch.setattr(toxicity, "STEP_BYTES", size)
+        assert toxicity.marked(text) == whole
+
+
+def test_toxicity_on_held_out_rows():
+    """Six of the 97 held-out toxic texts at this scale hold none of the stems that other toxic texts share."""
+    base = "/root/testdata/sf0.1"
+    docs = pq.read_table(f"{base}/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    rows = pq.read_table(f"{base}/labels.parquet", columns=["doc_id", "toxic"]).to_pandas().merge(docs, on="doc_id").dropna().sort_values("doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
+    known, new = rows[~held & (rows.text.str.len() <= 20_000)], rows[held]
+    texts = lambda df, y: [t.encode() for t in df[df.toxic == y].text]
+    model = toxicity.train(texts(known, 1), texts(known, 0), float(known.toxic.mean()))
+    assert np.mean(model.scores(texts(new, 1)) >= 0.5) >= 0.75
+    assert np.mean(model.scores(texts(new, 0)) >= 0.5) <= 0.01
+
+
 PAGES = [(1, "http://a/ b", "x" * 1200), (2, None, "x" * 1200), (3, "u", "é" * 600), (4, "u", "é" * 600), (5, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (9, "u", "y" * 999), (10, "u", "y" * 999), (2, "again", "x" * 1200), (None, "u", "x" * 1200)]
 
 
