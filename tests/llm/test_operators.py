@@ -500,7 +500,7 @@ def test_words_are_marked_alike_across_steps(monkeypatch):
 
 
 def test_toxicity_on_held_out_rows():
-    """Six of the 97 held-out toxic texts at this scale hold none of the stems that other toxic texts share."""
+    """Five of the 97 held-out toxic texts at this scale hold none of the stems that other toxic texts share."""
     base = "/root/testdata/sf0.1"
     docs = pq.read_table(f"{base}/documents.parquet", columns=["doc_id", "text"]).to_pandas()
     rows = pq.read_table(f"{base}/labels.parquet", columns=["doc_id", "toxic"]).to_pandas().merge(docs, on="doc_id").dropna().sort_values("doc_id")
