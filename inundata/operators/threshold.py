@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inundata.functions.special import inverse_digamma, logsumexp
 from inundata.operators.grid import Grid
+from inundata.storage import Scratch
 
 #: Start of the fit: shapes and rates of the two components for each image type.
 START = {"SAR": ((18.0, 31.0), (1.0, 2.0)), "optical": ((12.0, 10.0), (1.8, 0.33))}
@@ -21,8 +22,12 @@ STEPS, BINS, OPTICAL_SCALE, FAILED = 100, 1000, 100.0, -9999.0
 _TILE = ["r0", "c0", "h", "w"]
 
 
-def _tile_levels(cells: DataFrame, grid: Grid, threshold: float, tile_size: float, levels: int) -> list[tuple[DataFrame, DataFrame]]:
-    """For each level the open cells with their tile, and the tiles that it accepts."""
+def _tile_levels(cells: DataFrame, grid: Grid, threshold: float, tile_size: float, levels: int, scratch: Scratch | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level the open cells with their tile, and the tiles that it accepts.
+
+    Each level reads the one before twice. With ``scratch`` levels are saved,
+    else the plan doubles level by level.
+    """
     base = int(tile_size / grid.resolution)
     if base < 1:
         raise ValueError("tiles are smaller than a pixel")
@@ -30,7 +35,11 @@ def _tile_levels(cells: DataFrame, grid: Grid, threshold: float, tile_size: floa
     now = now.withColumns({"h": F.least(F.lit(base), grid.height - F.col("r0")), "w": F.least(F.lit(base), grid.width - F.col("c0"))})
     out = []
     for level in range(1, levels + 1):
+        if scratch:
+            now = scratch.save(now, "open")
         tiles = now.groupBy(*_TILE).agg(F.avg("v").alias("mean"))
+        if scratch:
+            tiles = scratch.save(tiles, "means")
         good = (F.col("mean") > threshold) & (F.col("mean") < 1 - threshold)
         out.append((now, tiles.where(good).withColumn("level", F.lit(level))))
         if level < levels:
@@ -53,7 +62,10 @@ def quadtree(cells: DataFrame, grid: Grid, threshold: float = 0.3, tile_size: fl
     until the levels are used up. Each level is one aggregation of the cells
     that no accepted tile holds; a cell's tile is arithmetic on its position.
     """
-    parts = [tiles for _, tiles in _tile_levels(cells, grid, threshold, tile_size, levels)]
+    return _placed([tiles for _, tiles in _tile_levels(cells, grid, threshold, tile_size, levels)], grid)
+
+
+def _placed(parts: list[DataFrame], grid: Grid) -> DataFrame:
     found = parts[0]
     for t in parts[1:]:
         found = found.unionByName(t)
@@ -63,13 +75,24 @@ def quadtree(cells: DataFrame, grid: Grid, threshold: float = 0.3, tile_size: fl
 
 def cells_in_tiles(cells: DataFrame, grid: Grid, threshold: float = 0.3, tile_size: float = 5000, levels: int = 4) -> DataFrame:
     """(tile_id, mean, v): the cells of each tile of the same quadtree, by its key and without a range join."""
-    parts = [now.join(tiles, _TILE).select(_tile_id(grid).alias("tile_id"), "mean", "v") for now, tiles in _tile_levels(cells, grid, threshold, tile_size, levels)]
-    found = parts[0]
-    for t in parts[1:]:
-        found = found.unionByName(t)
+    return _held(_tile_levels(cells, grid, threshold, tile_size, levels), grid)
+
+
+def _held(parts: list[tuple[DataFrame, DataFrame]], grid: Grid) -> DataFrame:
+    found = None
+    for now, tiles in parts:
+        held = now.join(tiles, _TILE).select(_tile_id(grid).alias("tile_id"), "mean", "v")
+        found = held if found is None else found.unionByName(held)
     return found
 
 
+def tiles_and_cells(cells: DataFrame, grid: Grid, threshold: float = 0.3, tile_size: float = 5000, levels: int = 4) -> tuple[DataFrame, DataFrame]:
+    """``quadtree`` and ``cells_in_tiles`` in one go, as saved tables: for stages that read them more than once."""
+    with Scratch(cells.sparkSession) as scratch:
+        parts = _tile_levels(cells, grid, threshold, tile_size, levels, scratch)
+        return scratch.keep(_placed([tiles for _, tiles in parts], grid), "tiles"), scratch.keep(_held(parts, grid), "cells")
+
+
 def bimodality(v: str = "v") -> Column:
     """Aggregate: bimodality coefficient of a group, null for fewer than four values or without spread."""
     n = F.count(v)

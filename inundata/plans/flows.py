@@ -28,10 +28,11 @@ def detect(band: DataFrame, seed: DataFrame, grid: Grid, cut: float, least_objec
 
 def threshold_surface(band: DataFrame, grid: Grid, tile_size: float = 5000, kind: str = "SAR", cutoff: float = 0.555) -> tuple[DataFrame, DataFrame]:
     """Threshold surface of the tiles with two kinds of values, and the band classified by it."""
-    tiles = threshold.quadtree(band, grid, tile_size=tile_size)
-    values = threshold.cells_in_tiles(band, grid, tile_size=tile_size)
+    scratch = Scratch(band.sparkSession)
+    tiles, values = threshold.tiles_and_cells(band, grid, tile_size=tile_size)
     fits = threshold.mixture_thresholds(values.select("tile_id", "v"), tiles, kind)
-    good = threshold.drop_outliers(threshold.threshold_points(tiles, fits), cutoff)
+    points = scratch.keep(threshold.threshold_points(tiles, fits), "points")  # outliers are judged by all, the surface counts and reads what is left
+    good = scratch.keep(threshold.drop_outliers(points, cutoff), "good")
     surface = interp.idw(band.select("r", "c"), good.withColumnRenamed("threshold", "z"), grid)
     return surface, g.classify(band, surface)
 
