@@ -15,40 +15,74 @@ from inundata.operators.grid import Grid, same_shape
 
 #: Points that one pass over the cells takes in; more take more passes.
 POINTS = 20_000
+#: Distances that are worked on at once, so that they stay in a core's cache.
+BLOCK = 32_768
 
 
 def _pass(x: np.ndarray, y: np.ndarray, z: np.ndarray, power: float, smoothing: float):
+    sums = np.column_stack([z, np.ones(len(z))])
+    meets = smoothing**2 <= 1e-20  # else no point counts as on a centre
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, 2_000_000 // len(x))
+        step = max(1, BLOCK // len(x))
         for b in batches:
             cx, cy = b.column("x").to_numpy(), b.column("y").to_numpy()
             top, bottom, hit = (b.column(k).to_numpy(zero_copy_only=False).copy() for k in ("top", "bottom", "hit"))
             for i in range(0, len(b), step):
-                d = (cx[i : i + step, None] - x) ** 2 + (cy[i : i + step, None] - y) ** 2 + smoothing**2
-                on = d <= 1e-20
+                d, e = cx[i : i + step, None] - x, cy[i : i + step, None] - y
+                d *= d
+                e *= e
+                d += e
+                d += smoothing**2
                 with np.errstate(divide="ignore"):
-                    w = 1 / d if power == 2 else d ** (-power / 2)
-                w[on] = 0
-                top[i : i + step] += w @ z
-                bottom[i : i + step] += w.sum(axis=1)
-                which = on.any(axis=1) & np.isnan(hit[i : i + step])
-                hit[i : i + step][which] = z[on.argmax(axis=1)][which]
+                    w = np.divide(1, d, out=e) if power == 2 else np.power(d, -power / 2, out=e)
+                if meets:
+                    on = d <= 1e-20
+                    w[on] = 0
+                    which = on.any(axis=1) & np.isnan(hit[i : i + step])
+                    hit[i : i + step][which] = z[on.argmax(axis=1)][which]
+                got = w @ sums
+                top[i : i + step] += got[:, 0]
+                bottom[i : i + step] += got[:, 1]
             yield pa.RecordBatch.from_arrays([b.column("r"), b.column("c"), b.column("x"), b.column("y"), pa.array(top), pa.array(bottom), pa.array(hit)], ["r", "c", "x", "y", "top", "bottom", "hit"])
 
     return run
 
 
+def _nearest_pass(x: np.ndarray, y: np.ndarray, z: np.ndarray, k: int, power: float, smoothing: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.full(len(b), np.nan)
+            null = np.ones(len(b), bool)
+            for rows, at, d in knn.among(b.column("x").to_numpy(), b.column("y").to_numpy(), x, y, k):
+                d = d + smoothing**2
+                on = d <= 1e-20
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    w = np.where(on, 0, d ** (-power / 2))
+                    bottom = w.sum(axis=1)
+                    first = np.where(on, at, len(x)).min(axis=1, initial=len(x))  # points are in the order of their ids
+                    v[rows] = np.where(first < len(x), z[np.minimum(first, len(x) - 1)], (w * z[at]).sum(axis=1) / bottom)
+                null[rows] = (first == len(x)) & (bottom == 0)
+            yield pa.RecordBatch.from_arrays([b.column("r"), b.column("c"), pa.array(v, mask=null)], ["r", "c", "v"])
+
+    return run
+
+
 def idw(cells: DataFrame, points: DataFrame, grid: Grid, power: float = 2.0, smoothing: float = 1.0, max_points: int | None = None, id_: str = "id") -> DataFrame:
     """Surface (r, c, v) at the centres of the cells: points (id, x, y, z) weighed by distance to a power.
 
-    All points count, or the ``max_points`` nearest. A point on the centre gives
-    its own value. All points pass over the cells as arrays of at most POINTS,
+    All points count, or the ``max_points`` nearest, which up to ``knn.SMALL``
+    points a task finds and sums up itself. A point on the centre gives its own
+    value. All points pass over the cells as arrays of at most POINTS,
     in a chain of maps without shuffle, while sums add up in the rows. Without
     points the surface is null.
     """
     at = cells.select("r", "c", grid.x(F.col("r"), F.col("c"), 0.5).alias("x"), grid.y(F.col("r"), F.col("c"), 0.5).alias("y"))
     known = points.where("z is not null and x is not null and y is not null")
     if max_points is not None:
+        if known.count() <= knn.SMALL:
+            p = known.select(F.col(id_).cast("long").alias("id"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).orderBy("id").toPandas()
+            return at.mapInArrow(_nearest_pass(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), max_points, power, smoothing), "r int, c int, v double")
         keyed = at.withColumn("id", F.col("r").cast("long") * grid.width + F.col("c"))
         near = knn.nearest(keyed.select("id", "x", "y"), known.select(F.col(id_).alias("nid"), "x", "y"), max_points)
         d2 = F.col("d2") + smoothing**2

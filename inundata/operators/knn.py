@@ -14,6 +14,8 @@ from inundata.storage import Scratch
 
 #: Points that are sent whole to every task; more are searched by buckets.
 SMALL = 50_000
+#: Distances that are sorted at once rather than halving a group of points further.
+SORTED = 20_000
 #: Cells on a side of the grid whose extents bound the way to far points.
 CELLS = 48
 
@@ -22,7 +24,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, own: bool = False, small:
     """(id, nid, d2, rank): for each left point (id, x, y) its k nearest right points (nid, x, y), ties by nid.
 
     With ``own`` a left point is not its own neighbour (nid = id). Up to
-    ``small`` right points, counted first, go to the tasks as arrays. More are
+    ``small`` right points, counted first, go to the tasks as arrays, where groups
+    of left points share the search. More are
     put into square buckets of a few points, and left points look at the
     buckets around their own; those whose k-th neighbour may lie further off go
     on with buckets twice as wide. Every round shuffles only what is open. Left
@@ -42,24 +45,52 @@ def _small(left: DataFrame, right: DataFrame, k: int, own: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), max(1, 2_000_000 // max(1, len(ids)))):
-                part = b.slice(i, max(1, 2_000_000 // max(1, len(ids))))
-                me = part.column("id").to_numpy(zero_copy_only=False)
-                d = (part.column("x").to_numpy(zero_copy_only=False)[:, None] - xs) ** 2 + (part.column("y").to_numpy(zero_copy_only=False)[:, None] - ys) ** 2
-                if own:
-                    d[me[:, None] == ids] = np.inf
-                take = min(k, len(ids))
-                if not take:
-                    continue
-                order = np.argsort(d, axis=1, kind="stable")[:, :take]
-                got = np.take_along_axis(d, order, axis=1)
-                ok = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(me, take)[ok.ravel()]), pa.array(ids[order][ok]), pa.array(got[ok]), pa.array(np.tile(np.arange(1, take + 1, dtype=np.int32), len(me))[ok.ravel()])], ["id", "nid", "d2", "rank"])
+            me, px, py = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
+            for rows, at, d in among(px, py, xs, ys, k, (me, ids) if own else None):
+                ok = np.isfinite(d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(me[rows], d.shape[1])[ok.ravel()]), pa.array(ids[at][ok]), pa.array(d[ok]), pa.array(np.tile(np.arange(1, d.shape[1] + 1, dtype=np.int32), len(rows))[ok.ravel()])], ["id", "nid", "d2", "rank"])
 
     points = left.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
     return points.mapInArrow(run, "id long, nid long, d2 double, rank int")
 
 
+def among(px: np.ndarray, py: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, at, d2) for groups of the points p: positions of the k nearest of x, y in their order, ties by position.
+
+    With ``own``, the ids of both sides, equal ids are no neighbours: their d2
+    is infinite. A group is halved until few candidates are left to sort: if
+    the k-th nearest of its middle lies D away and its points at most R, no
+    neighbour of these lies further than D + 2 R from the middle. Points that
+    aren't finite neither have neighbours nor are any.
+    """
+    real = np.flatnonzero(np.isfinite(xs) & np.isfinite(ys))
+    xs, ys, need = xs[real], ys[real], k + (own is not None)
+    todo = [np.flatnonzero(np.isfinite(px) & np.isfinite(py))] if len(real) and k > 0 else []
+    while todo:
+        rows = todo.pop()
+        if not len(rows):
+            continue
+        x, y, near = px[rows], py[rows], slice(None)
+        wide, high, n = np.ptp(x), np.ptp(y), len(xs)
+        if n > need:
+            mx, my = x.min() + wide / 2, y.min() + high / 2
+            d = (xs - mx) ** 2 + (ys - my) ** 2
+            bound = (np.sqrt(np.partition(d, need - 1)[need - 1]) + 2 * np.hypot(x - mx, y - my).max()) * (1 + 1e-9)
+            near = np.flatnonzero(d <= bound * bound)
+            n = len(near)
+            if len(rows) * n > max(2 * len(xs), SORTED) and max(wide, high) > 0:
+                parts = np.argpartition(x if wide >= high else y, len(rows) // 2)
+                todo += [rows[parts[: len(rows) // 2]], rows[parts[len(rows) // 2 :]]]
+                continue
+        step = max(1, 2_000_000 // n)
+        for i in range(0, len(rows), step):
+            d = (x[i : i + step, None] - xs[near]) ** 2 + (y[i : i + step, None] - ys[near]) ** 2
+            if own:
+                d[own[0][rows[i : i + step], None] == own[1][real[near]]] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            yield rows[i : i + step], real[near][order], np.take_along_axis(d, order, axis=1)
+
+
 def _bucketed(left: DataFrame, right: DataFrame, k: int, own: bool, n: int) -> DataFrame:
     scratch = Scratch(left.sparkSession)
     x0, x1, y0, y1 = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()

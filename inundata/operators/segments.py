@@ -12,6 +12,7 @@ from inundata.functions import density
 from inundata.operators import knn
 from inundata.operators.grid import Grid
 from inundata.operators.objects import level_of, position_in
+from inundata.storage import Scratch
 
 #: The eight steps around a pixel, counter-clockwise as seen on a map with rows downward, from the west.
 _RING = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
@@ -115,7 +116,9 @@ def boundary_segments(labels: DataFrame, least: int = 100, points: int = 200, ho
         out.insert(0, "object_id", pdf["object_id"].iloc[0])
         return out
 
-    ways = cells.groupBy("object_id").applyInPandas(walk, "object_id long, contour_id int, is_hole boolean, seq int, col int, row int")
+    spark = labels.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # small in bytes, long to trace: else adaptive execution joins them in a few tasks
+    ways = cells.repartition(parts, "object_id").groupBy("object_id").applyInPandas(walk, "object_id long, contour_id int, is_hole boolean, seq int, col int, row int")
     keys = ["object_id", "contour_id"] if least_contour else ["object_id"]
     return position_in(ways, keys, ["contour_id", "seq"], points)
 
@@ -199,6 +202,7 @@ def reference_layer(labels: DataFrame, dem: DataFrame, grid: Grid, least: int =
 
 def level_layer(labels: DataFrame, dem: DataFrame, grid: Grid, least: int = 100, points: int = 200, k: int = 8) -> DataFrame:
     """Level points of all outlines, outliers replaced: the input of the water surface."""
-    way = sample_elevation(boundary_segments(labels, least, points, least_contour=least), dem, grid)
-    made = level_points(way).withColumn("id", F.xxhash64("object_id", "contour_id", "segment_id"))
+    with Scratch(labels.sparkSession) as scratch:  # outlines are traced once, for places and levels and the searches among them
+        way = scratch.save(sample_elevation(boundary_segments(labels, least, points, least_contour=least), dem, grid), "way")
+        made = scratch.keep(level_points(way).withColumn("id", F.xxhash64("object_id", "contour_id", "segment_id")), "points")
     return replace_outliers(made, k)

@@ -52,8 +52,8 @@ def assess(mask: DataFrame, dem: DataFrame, grid: Grid, least_back: int = 100, t
 def reconstruct(mask: DataFrame, dem: DataFrame, grid: Grid, least: int = 100, points: int = 200, k: int = 8, max_points: int = 12, power: float = 3.0) -> DataFrame:
     """Depth and class of the water that the mask (v 1) and the levels at its outlines imply."""
     with Scratch(mask.sparkSession) as scratch:
-        big = components.remove_small(mask.select("r", "c", F.when(F.col("v") > 0, 1).otherwise(0).alias("v")), grid, least, scratch=scratch)
-        labels = scratch.save(components.numbered(components.label(big.withColumn("v", F.lit(1)), grid, scratch=scratch), scratch), "labels", keep=True)
+        big = scratch.save(components.sized(components.label(mask.where("v > 0").select("r", "c", F.lit(1).alias("v")), grid, scratch=scratch), least), "large")
+        labels = scratch.save(components.numbered(big, scratch), "labels", keep=True)
         levels = scratch.save(segments.level_layer(labels, dem, grid, least, points, k), "levels", keep=True)
         surface = interp.idw(dem.select("r", "c"), levels.withColumnRenamed("LWSE_new", "z"), grid, power, 0.0, max_points)
         return interp.depth_class(surface, dem, mask, grid)
