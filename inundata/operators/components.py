@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from inundata.graph import components
 from inundata.operators.grid import Grid
-from inundata.storage import Scratch
+from inundata.storage import Scratch, shuffled
 
 #: Rows and columns of the tiles that are labelled each for itself.
 TILE = 512
@@ -72,7 +72,7 @@ def label(cells: DataFrame, grid: Grid, diagonal: bool = True, by_value: bool =
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if diagonal else [(0, 1), (1, 0)]
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))
     reach = edge.select("r", "c", "v", F.col("local").alias("a"), F.explode(offsets).alias("o")).select((F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), F.col("v").alias("v0"), "a")
-    touching = reach.join(edge.select("r", "c", "v", F.col("local").alias("b")), ["r", "c"]).where("a <> b" + (" and v0 = v" if by_value else ""))
+    touching = reach.join(shuffled(edge.select("r", "c", "v", F.col("local").alias("b"))), ["r", "c"]).where("a <> b" + (" and v0 = v" if by_value else ""))
     joined = components(touching.select("a", "b").distinct(), own)
     return locals_.join(joined.select(F.col("node").alias("local"), "component"), "local", "left").select("r", "c", "v", F.coalesce("component", "local").alias("label"))
 
@@ -81,7 +81,8 @@ def numbered(labels: DataFrame, scratch: Scratch | None = None, parts: int = 64)
     """Labels replaced by 1 to n in their order, as object_id.
 
     Sorted in ranges; the sizes of the ranges, ``parts`` numbers, give each its
-    first number.
+    first number. The cells stand on the left of a left join, so that they are
+    never the side that is broadcast; each has its label on the right.
     """
     own = scratch or Scratch(labels.sparkSession)
     distinct = labels.select("label").distinct().repartitionByRange(parts, "label").withColumn("part", F.spark_partition_id())
@@ -93,7 +94,7 @@ def numbered(labels: DataFrame, scratch: Scratch | None = None, parts: int = 64)
         before += n
     first = labels.sparkSession.createDataFrame(starts or [(0, 0)], "part int, before long")
     ids = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("label"))).join(F.broadcast(first), "part")
-    return labels.join(ids.select("label", (F.col("before") + F.col("nth")).alias("object_id")), "label").select("r", "c", "object_id")
+    return labels.join(ids.select("label", (F.col("before") + F.col("nth")).alias("object_id")), "label", "left").select("r", "c", "object_id")
 
 
 def sized(labels: DataFrame, least: int) -> DataFrame:
@@ -122,7 +123,7 @@ def as_mask(spark_cells: DataFrame, grid: Grid) -> DataFrame:
 def grow(candidates: DataFrame, seeds: DataFrame, grid: Grid, diagonal: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Candidate cells (r, c) whose connected region has a seed; seeds that are no candidates give nothing."""
     labels = label(candidates.withColumn("v", F.lit(1)), grid, diagonal, scratch=scratch)
-    hit = labels.join(seeds.select("r", "c").distinct(), ["r", "c"], "left_semi").select("label").distinct()
+    hit = labels.join(shuffled(seeds.select("r", "c").distinct()), ["r", "c"], "left_semi").select("label").distinct()
     return labels.join(hit, "label", "left_semi").select("r", "c")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inundata.operators import knn
 from inundata.operators.components import grow
 from inundata.operators.grid import Grid, same_shape
+from inundata.storage import shuffled
 
 #: Points that one pass over the cells takes in; more take more passes.
 POINTS = 20_000
@@ -88,7 +89,7 @@ def idw(cells: DataFrame, points: DataFrame, grid: Grid, power: float = 2.0, smo
         d2 = F.col("d2") + smoothing**2
         w = F.when(d2 > 1e-20, F.pow(d2, -power / 2))
         sums = near.join(known.select(F.col(id_).alias("nid"), "z"), "nid").groupBy("id").agg(F.min_by("z", F.when(d2 <= 1e-20, F.col("nid"))).alias("hit"), (F.sum(w * F.col("z")) / F.sum(w)).alias("mean"))
-        return keyed.join(sums, "id", "left").select("r", "c", F.coalesce("hit", "mean").alias("v"))
+        return keyed.join(shuffled(sums), "id", "left").select("r", "c", F.coalesce("hit", "mean").alias("v"))
     rows = known.select(F.col(id_).alias("id"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).orderBy("id")
     n = known.count()
     out = at.withColumns({"top": F.lit(0.0), "bottom": F.lit(0.0), "hit": F.lit(float("nan"))})
@@ -108,10 +109,10 @@ def depth_class(surface: DataFrame, dem: DataFrame, seeds: DataFrame, grid: Grid
     grid.require_north_up()
     if of is not None:
         same_shape(of, grid)
-    both = dem.select("r", "c", F.col("v").alias("z")).join(surface.select("r", "c", F.col("v").alias("w")), ["r", "c"], "left")
-    both = both.join(seeds.where(F.col("v") == flood_class).select("r", "c", F.lit(True).alias("seed")), ["r", "c"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    both = dem.select("r", "c", F.col("v").alias("z")).join(shuffled(surface.select("r", "c", F.col("v").alias("w"))), ["r", "c"], "left")
+    both = both.join(shuffled(seeds.where(F.col("v") == flood_class).select("r", "c", F.lit(True).alias("seed"))), ["r", "c"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     wet = both.where("seed or z < w").select("r", "c")
-    grown = grow(wet, both.where("seed").select("r", "c"), grid).select("r", "c", F.lit(True).alias("in"))
-    out = both.join(grown, ["r", "c"], "left")
+    grown = grow(wet, seeds.where(F.col("v") == flood_class), grid).select("r", "c", F.lit(True).alias("in"))
+    out = both.join(shuffled(grown), ["r", "c"], "left")
     d = F.col("w") - F.col("z")
     return out.select("r", "c", F.when(F.col("seed"), F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).when(F.col("in"), d).alias("depth"), F.when(F.col("seed"), 1).when(F.col("in"), 2).otherwise(0).alias("class"))

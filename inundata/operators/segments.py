@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from inundata.functions import density
 from inundata.operators import knn
 from inundata.operators.grid import Grid
 from inundata.operators.objects import level_of, position_in
-from inundata.storage import Scratch
+from inundata.storage import Scratch, shuffled
 
 #: The eight steps around a pixel, counter-clockwise as seen on a map with rows downward, from the west.
 _RING = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
@@ -103,12 +105,12 @@ def boundary_segments(labels: DataFrame, least: int = 100, points: int = 200, ho
         cells = votes.groupBy("object_id", "r", "c").agg(F.sum("me").alias("me"), F.count("*").alias("n")).where("me > 0 and n < 5").select("object_id", "r", "c")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, k, rings = [], 0, []
+        rows, k, crossed = [], 0, {}
         for hole, way in outlines(pdf[["r", "c"]].to_numpy(), holes):
             if not holes:
-                if any(_inside(way[0], ring) for ring in rings):
+                if _inside(way[0], crossed):
                     continue  # the border of a hole, or what lies in one
-                rings.append(np.array(way))
+                _cross(np.array(way), crossed)
             if len(way) >= least_contour:
                 rows += [(k, hole, s, c, r) for s, (r, c) in enumerate(way)]
                 k += 1
@@ -123,20 +125,35 @@ def boundary_segments(labels: DataFrame, least: int = 100, points: int = 200, ho
     return position_in(ways, keys, ["contour_id", "seq"], points)
 
 
-def _inside(point: tuple[int, int], ring: np.ndarray) -> bool:
-    """Whether a pixel that isn't on a closed outline lies within it: a ray to the left crosses it an odd number of times."""
-    (r, c), (r0, c0) = point, ring.T
-    r1, c1 = np.roll(r0, -1), np.roll(c0, -1)
-    spans = (r0 > r) != (r1 > r)
-    at = c0[spans] + (r - r0[spans]) * (c1[spans] - c0[spans]) / (r1[spans] - r0[spans])
-    return bool((at < c).sum() % 2)
+def _cross(ring: np.ndarray, crossed: dict[int, list[int]]) -> None:
+    """Adds the columns at which a closed outline goes from a row to the next, sorted by row. Its pixels are neighbours."""
+    (r0, c0), (r1, c1) = ring.T, np.roll(ring, -1, axis=0).T
+    spans, upper = r0 != r1, r0 < r1
+    r, c = np.where(upper, r0, r1)[spans], np.where(upper, c0, c1)[spans]
+    order = np.lexsort((c, r))
+    for row, columns in zip(*_runs(r[order], c[order])):
+        crossed[row] = sorted(crossed.get(row, []) + columns.tolist())
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct values of sorted keys, and the values of each."""
+    found, starts = np.unique(keys, return_index=True)
+    return found.tolist(), np.split(values, starts[1:])
+
+
+def _inside(point: tuple[int, int], crossed: dict[int, list[int]]) -> bool:
+    """Whether a pixel that isn't on one of the closed outlines lies within it: a ray to the left crosses them an odd number of times.
+
+    None of the outlines lies within another.
+    """
+    return bool(bisect_left(crossed.get(point[0], []), point[1]) % 2)
 
 
 def sample_elevation(points: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
     """Boundary points with x, y (pixel corners) and Elev of their own cell."""
     placed = points.withColumns({"x": grid.x(F.col("row"), F.col("col")), "y": grid.y(F.col("row"), F.col("col"))})
     ground = dem.select(F.col("r").alias("row"), F.col("c").alias("col"), F.col("v").alias("Elev"))
-    return placed.join(ground, ["row", "col"], "left")
+    return placed.join(shuffled(ground), ["row", "col"], "left")
 
 
 def reference_segments(points: DataFrame, method: str = "kde") -> DataFrame:

@@ -32,6 +32,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shuffled(cells: DataFrame) -> DataFrame:
+    """The same rows, for one side of a join that is never to be broadcast.
+
+    Spark takes a table for as large as its files, and millions of cells fit a
+    few compressed megabytes: the driver would collect and hash them all.
+    """
+    return cells.hint("merge")
+
+
 class Scratch:
     """Named tables below one fresh shared folder.
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from inundata.operators import interp, knn, segments, threshold
 from inundata.operators.grid import Grid
 from inundata.plans import flows
+from inundata.storage import Scratch
 
 
 def band(spark, n=48):
@@ -103,3 +106,42 @@ def test_outlines_are_traced_once(spark, tmp_path, monkeypatch):
     got = flows.reconstruct(mask, dem, grid, 20, 8).toPandas()
     assert len(got) == 900 and len(open(log).read().split()) == 9  # nine squares; the single pixels are too small
     assert (got["class"] == 1).sum() == (mask.where("v = 1").count()) and (got[got["class"] == 1].depth >= 0).all()
+
+
+def test_cells_are_never_broadcast(spark, monkeypatch):
+    plain, plans = Scratch.save, []
+    plan_of = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+
+    def noted(self, df, *a, **k):
+        plans.append(plan_of(df))
+        return plain(self, df, *a, **k)
+
+    grid, scratch = Grid(64, 200), Scratch(spark)
+    dem = scratch.keep(grid.cells(spark).withColumn("v", F.col("r") * 0.01 + F.col("c") % 7))  # small files, as millions of cells can have
+    mask = scratch.keep(grid.cells(spark).withColumn("v", F.when(F.col("c") < 40, 1).otherwise(0)))
+    monkeypatch.setattr(Scratch, "save", noted)
+    got = flows.reconstruct(mask, dem, grid, 20, 8)
+    joins = [x for p in [*plans, plan_of(got)] for x in p.splitlines() if "BroadcastHashJoin" in x]
+    assert joins and not [x for x in joins if re.search(r"Join \[(r|row)#", x) or re.search(r"Join \[label#.*BuildLeft", x)]
+    got = got.toPandas()
+    assert len(got) == 64 * 200 and (got["class"] == 1).sum() == 40 * 200 and (got[got["class"] == 1].depth >= 0).all()
+
+
+def test_parts_within_an_outline():
+    def plain(point, ring):
+        ends = zip(ring, ring[1:] + ring[:1])
+        return sum((a[0] > point[0]) != (b[0] > point[0]) and min(a, b)[1] < point[1] for a, b in ends) % 2
+
+    rng, within = np.random.default_rng(13), 0
+    for _ in range(60):
+        m = np.pad(np.kron(rng.random((6, 6)) < 0.8, np.ones((4, 4), bool)), 2)
+        edge = m[1:-1, 1:-1] & ~(m[:-2, 1:-1] & m[2:, 1:-1] & m[1:-1, :-2] & m[1:-1, 2:])
+        rings, crossed = [], {}
+        for _, way in segments.outlines(np.argwhere(edge)):
+            inside = any(plain(way[0], x) for x in rings)
+            assert segments._inside(way[0], crossed) == inside
+            within += inside
+            if not inside:
+                rings.append(way)
+                segments._cross(np.array(way), crossed)
+    assert within > 30
